@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, components, mixing, spans, splitting
+from strata.llm import bpe, components, mixing, neardup, spans, splitting
 from strata.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,20 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(records, spans.shared_spans(records, "token_hash", "token_sequence"), "token_hash", "token_sequence")
 
 
+def _near(spark: SparkSession, d: str) -> neardup.NearDuplicates:
+    blocks = spans.distinct_sequences(table(spark, d, "code_blocks"), "token_hash", "token_sequence")
+    snippets = table(spark, d, "code_snippets").select(F.lpad(F.col("snippet_id").cast("string"), 12, "0").alias("snippet"), "code")
+    return neardup.NearDuplicates([("block", blocks, "token_hash", "token_sequence", False), ("snippet", snippets, "snippet", "code", True)], 0.6)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).all_pairs()
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).groups()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -66,7 +80,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_pieces(spark, d).where("piece = 0").select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p4_found, p4_shares, p8_ids, p8_text, p9_found, p9_mix, p9_report, p10_found, p10_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p4_found, p4_shares, p6_found, p6_groups, p8_ids, p8_text, p9_found, p9_mix, p9_report, p10_found, p10_pieces)}
 
 _P4 = """
 WITH records AS (SELECT token_hash, any_value(token_sequence) AS s FROM code_blocks WHERE token_hash IS NOT NULL AND token_sequence IS NOT NULL GROUP BY token_hash),
@@ -91,5 +105,14 @@ SELECT node AS block_id, min(seen) AS group_id FROM reach GROUP BY node""",
     + """, sums AS (SELECT token_hash, sum(span_end - span_start + 1) AS n FROM spans GROUP BY token_hash)
 SELECT token_hash, CAST(len(s) AS BIGINT) AS n_tokens, CAST(coalesce(n, 0) AS BIGINT) AS n_shared, CASE WHEN len(s) = 0 THEN 0.0 ELSE coalesce(n, 0) / CAST(len(s) AS DOUBLE) END AS share
 FROM records LEFT JOIN sums USING (token_hash)""",
+    "p6_found": r"""
+WITH records AS (SELECT token_hash AS id, any_value(token_sequence) AS s FROM code_blocks WHERE token_hash IS NOT NULL AND token_sequence IS NOT NULL GROUP BY token_hash),
+snippets AS (SELECT lpad(CAST(snippet_id AS VARCHAR), 12, '0') AS id, regexp_extract_all(code, '[A-Za-z0-9_]+|[^\sA-Za-z0-9_]') AS s FROM code_snippets WHERE code IS NOT NULL),
+grams AS (
+  SELECT DISTINCT 'block' AS kind, id, CAST(s[i:i + 4] AS VARCHAR) AS g FROM (SELECT id, s, unnest(range(1, len(s) - 3)) AS i FROM records WHERE len(s) >= 5)
+  UNION ALL SELECT DISTINCT 'snippet', id, array_to_string(s[i:i + 4], ' ') FROM (SELECT id, s, unnest(range(1, len(s) - 3)) AS i FROM snippets WHERE len(s) >= 5)
+), sizes AS (SELECT kind, id, count(*) AS n FROM grams GROUP BY kind, id),
+both_have AS (SELECT a.kind, a.id AS id_1, b.id AS id_2, count(*) AS k FROM grams a JOIN grams b ON a.kind = b.kind AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3)
+SELECT p.kind, id_1, id_2 FROM both_have p JOIN sizes x ON x.kind = p.kind AND x.id = id_1 JOIN sizes y ON y.kind = p.kind AND y.id = id_2 WHERE 10 * k >= 6 * (x.n + y.n - k)""",
     "p8_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
