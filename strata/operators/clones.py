@@ -43,58 +43,45 @@ def with_has_clone(tracked: DataFrame, pairs: DataFrame) -> DataFrame:
     return tracked.join(m, (F.col("prev_revision_id") == F.col("_r")) & (F.col("prev_token_hash") == F.col("_h")), "left").withColumn("has_clone", F.col("_h").isNotNull()).drop("_r", "_h")
 
 
-def least_labels(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of `edges` (a, b): the least node it is connected with.
+def least_labels(edges: DataFrame, by: str) -> DataFrame:
+    """(by, node, label) of every node of `edges` (by, a, b): the least node it is connected with in its graph; all graphs at once.
 
-    Each node takes the least label around it, then its label's label (pointer jumping), until nothing changes. Every round is
-    a written table.
+    Each node takes the least label around it, and its label's own is lowered as well (pointer jumping), until nothing
+    changes. Every round is a written table. Graphs and nodes are spread by both, so a large graph is no hot spot.
     """
-    ends = edges.where("a is not null and b is not null")
-    both = stored(ends.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.x", "e.y").distinct())
-    at = Stored(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).select(F.col("x").alias("node"), "label"))
+    ends = edges.where(f"a is not null and b is not null and {by} is not null").select(F.col(by).alias("g"), "a", "b")
+    both = stored(ends.select("g", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("g", "e.x", "e.y").distinct())
+    at = Stored(both.groupBy("g", "x").agg(F.least(F.min("y"), F.col("x")).alias("label")).select("g", F.col("x").alias("node"), "label"))
     while True:
-        around = both.join(at.df, both["y"] == at.df["node"]).groupBy("x").agg(F.min("label").alias("near"))
-        hooked = at.df.join(around, at.df["node"] == around["x"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        # A label may hook its own node as well: the least seen from any of its members.
-        pull = hooked.groupBy(F.col("old").alias("root")).agg(F.min("label").alias("lower"))
-        jumped = hooked.join(pull, F.col("label") == F.col("root"), "left").select("node", "old", F.least("label", F.coalesce("lower", "label")).alias("label"))
-        new = Stored(jumped)
+        here = at.df
+        around = both.join(here.select("g", F.col("node").alias("y"), "label"), ["g", "y"]).groupBy("g", F.col("x").alias("node")).agg(F.min("label").alias("near"))
+        hooked = here.join(around, ["g", "node"]).select("g", "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        # The least seen from any of a label's members lowers the label itself.
+        pull = hooked.groupBy("g", F.col("old").alias("label")).agg(F.min("label").alias("lower"))
+        new = Stored(hooked.join(pull, ["g", "label"], "left").select("g", "node", "old", F.least("label", F.coalesce("lower", "label")).alias("label")))
         moved = not new.df.where("label <> old").isEmpty()
         at.drop()
-        at = Stored(new.df.select("node", "label"))
+        at = Stored(new.df.select("g", "node", "label"))
         new.drop()
         if not moved:
-            return at.df
+            return at.df.withColumnRenamed("g", by)
 
 
 def cumulative_groups(pairs: DataFrame, per_revision: bool = False) -> DataFrame:
     """(revision_id, token_hash, group_id): in every revision, each hash seen so far and the least hash it is connected with by
-    the pairs of that revision or any before.
+    the pairs of that revision or any before. `per_revision` looks at each revision's own pairs alone.
 
-    Revisions are taken in order: the pairs of one are contracted by the labels reached so far and only what is new is
-    connected. `per_revision` looks at each revision's own pairs alone. As many steps as revisions.
+    All revisions' graphs are connected at once. A pair belongs to the graphs of its first revision and of all later ones, so
+    the edges are at most as many as different pairs times revisions.
     """
-    links = stored(pairs.where("token_hash_1 is not null and token_hash_2 is not null and revision_id is not null").select("revision_id", F.col("token_hash_1").alias("a"), F.col("token_hash_2").alias("b")).distinct())
-    out: DataFrame | None = None
-    labels: DataFrame | None = None
-    # One row per revision.
-    for (revision,) in links.select("revision_id").distinct().orderBy("revision_id").collect():
-        this = F.lit(str(revision)).cast(pairs.schema["revision_id"].dataType)  # by its text: free of time zones
-        now = links.where(F.col("revision_id") == this).select("a", "b")
-        if labels is None or per_revision:
-            labels = least_labels(now)
-        else:
-            known = labels
-            for c in ("a", "b"):
-                now = now.join(known.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
-            new = least_labels(now)
-            moved = known.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            labels = stored(moved.unionByName(new.join(known.select("node"), "node", "left_anti")))
-        step = labels.select(this.alias("revision_id"), F.col("node").alias("token_hash"), F.col("label").alias("group_id"))
-        out = step if out is None else out.unionByName(step)
-    if out is None:
-        return links.select("revision_id", F.col("a").alias("token_hash"), F.col("b").alias("group_id"))
-    return out
+    links = pairs.where("token_hash_1 is not null and token_hash_2 is not null and revision_id is not null").select("revision_id", F.least("token_hash_1", "token_hash_2").alias("a"), F.greatest("token_hash_1", "token_hash_2").alias("b")).distinct()
+    if not per_revision:
+        kind = pairs.schema["revision_id"].dataType
+        # One row per revision; as texts, free of time zones.
+        revisions = [r[0] for r in links.select(F.col("revision_id").cast("string")).distinct().collect()]
+        later = F.filter(F.array(*[F.lit(r).cast(kind) for r in revisions]).cast(f"array<{kind.simpleString()}>"), lambda r: r >= F.col("first"))
+        links = links.groupBy("a", "b").agg(F.min("revision_id").alias("first")).select(F.explode(later).alias("revision_id"), "a", "b")
+    return least_labels(links, "revision_id").select("revision_id", F.col("node").alias("token_hash"), F.col("label").alias("group_id"))
 
 
 def with_groups(tracked: DataFrame, groups: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def assign_ids_in_order(matches: DataFrame) -> DataFrame:
     keys = [f"{s}_{c}" for s in ("prev", "curr") for c in SIGNATURE]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["prev_revision_id", "curr_revision_id", "_sig", *keys], na_position="last", ignore_index=True, kind="stable")
+        pdf = pdf.sort_values(["prev_revision_id", "curr_revision_id", "_sig", "_far", *keys], na_position="last", ignore_index=True, kind="stable")
         alive: dict[tuple, tuple[int, int, bool]] = {}
         ids, absorbed, absorber, fresh = [], [False] * len(pdf), [False] * len(pdf), 0
         clean = lambda r, s: tuple(None if pd.isna(v := getattr(r, f"{s}_{c}")) else v for c in SIGNATURE)
@@ -107,12 +107,12 @@ def assign_ids_in_order(matches: DataFrame) -> DataFrame:
             else:
                 absorbed[i] = True
                 (absorber if holder[2] else absorbed)[holder[1]] = True
-        return pdf.drop(columns="_sig").assign(method_id=ids, is_absorbed=absorbed, is_absorber=absorber)
+        return pdf.drop(columns=["_sig", "_far"]).assign(method_id=ids, is_absorbed=absorbed, is_absorber=absorber)
 
     columns = ["prev_revision_id", "curr_revision_id", *keys, "is_sig_matched", "is_matched", "is_deleted", "is_added"]
     kinds = {f.name: f.dataType.simpleString() for f in matches.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", method_id long, is_absorbed boolean, is_absorber boolean"
-    return matches.select(*columns, (~F.col("is_sig_matched")).cast("int").alias("_sig")).groupBy(F.lit(1)).applyInPandas(run, schema)
+    return matches.select(*columns, (~F.col("is_sig_matched")).cast("int").alias("_sig"), (-F.coalesce("similarity", F.lit(-1.0))).alias("_far")).groupBy().applyInPandas(run, schema)
 
 
 def relabel_chains(tracking: DataFrame, block: str = "block_id", matched: str = "matched_block_id") -> DataFrame:

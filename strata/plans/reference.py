@@ -298,6 +298,11 @@ def rate_series(spark, d):
     return rates.rate_series(rates_by_clone(spark, d))
 
 
+@query
+def similarity_rate_series(spark, d):
+    return rates.rate_series(rates_by_similarity(spark, d))
+
+
 @query
 def column_statistics(spark, d):
     return rates.column_statistics(blocks(spark, d), ["start_line", "end_line"])
@@ -401,7 +406,7 @@ def _samples(spark, d):
     gone = matching.signature_match(b).where("is_sig_deleted").select(F.col("prev_revision_id").alias("_r"), *[F.col(f"prev_{c}").alias(f"_{c}") for c in matching.SIGNATURE])
     dead = b.join(gone, (F.col("revision_id") == F.col("_r")) & matching.null_safe({c: F.col(c) for c in matching.SIGNATURE}, {c: F.col(f"_{c}") for c in matching.SIGNATURE}), "left_semi").select(F.col("block_id").cast("string").alias("_b"))
     s = table(spark, d, "code_snippets").select("snippet_id", "code", "function_name", "loc", "revision", "global_block_id")
-    size = pairs(spark, d).select(F.explode(F.array("block_id_1", "block_id_2")).cast("string").alias("_k")).groupBy("_k").agg(F.count("*").alias("clone_group_size"))
+    size = pairs(spark, d).select(F.explode(F.array(F.col("block_id_1").cast("string"), F.col("block_id_2").cast("string"))).alias("_k")).groupBy("_k").agg(F.count("*").alias("clone_group_size"))
     return s.join(dead, F.col("global_block_id") == F.col("_b"), "left").withColumn("is_deleted", F.col("_b").isNotNull()).drop("_b").join(size, F.col("global_block_id") == F.col("_k"), "left").drop("_k")
 
 

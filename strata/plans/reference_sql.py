@@ -82,8 +82,8 @@ _CUMULATIVE, _PER_REVISION = _CC.format(rule="l.revision_id <= r.revision_id"),
 
 _GROUP_STATUS = f"""WITH RECURSIVE {ENRICHED_SQL}, {_CUMULATIVE},
 joined AS (SELECT e.*, g.group_id FROM enriched e LEFT JOIN groups g ON g.revision_id = e.prev_revision_id AND g.token_hash = e.prev_token_hash),
-state AS (SELECT prev_revision_id AS r, group_id AS g, bool_and(is_deleted) AS whole, bool_or(is_deleted) AS some FROM joined WHERE has_clone AND group_id IS NOT NULL GROUP BY ALL),
-stated AS (SELECT j.*, coalesce(is_deleted AND has_clone AND whole, false) AS is_all_deleted, coalesce(is_deleted AND has_clone AND some AND NOT whole, false) AS is_partial_deleted
+state AS (SELECT prev_revision_id AS r, group_id AS g, bool_and(is_deleted) AS whole, bool_or(is_deleted) AS part FROM joined WHERE has_clone AND group_id IS NOT NULL GROUP BY ALL),
+stated AS (SELECT j.*, coalesce(is_deleted AND has_clone AND whole, false) AS is_all_deleted, coalesce(is_deleted AND has_clone AND part AND NOT whole, false) AS is_partial_deleted
   FROM joined j LEFT JOIN state s ON s.r IS NOT DISTINCT FROM j.prev_revision_id AND s.g = j.group_id)"""
 
 _SNAPSHOT = f"""WITH RECURSIVE {PAIRS_SQL}, {_PER_REVISION},
@@ -208,7 +208,7 @@ FROM typed WINDOW s AS (PARTITION BY revision_dir, file_path, method_name, retur
     "signature_match": _SIGNATURES + " SELECT * EXCLUDE (prev_block, curr_block) FROM sig",
     "signature_counts": _SIGNATURES + " SELECT is_sig_matched, is_sig_deleted, is_sig_added, count(*) AS n FROM sig GROUP BY ALL",
     "signature_check": _SIGNATURES + " SELECT prev_revision_id, count(*) AS n_before, count(*) FILTER (WHERE is_sig_matched) AS n_matched, count(*) FILTER (WHERE is_sig_deleted) AS n_deleted, true AS adds_up FROM sig GROUP BY prev_revision_id",
-    "similarity_candidates": _SIM_STEPS + " SELECT src, tgt, n_shared, x.n AS n_grams FROM shared JOIN sizes x ON x.token_hash = src JOIN seqs p ON p.token_hash = src JOIN seqs q ON q.token_hash = tgt WHERE n_shared >= x.n * 0.1 AND list_has_any(p.src, q.tgt)",
+    "similarity_candidates": _SIM_STEPS + " SELECT shared.src, shared.tgt, n_shared, x.n AS n_grams FROM shared JOIN sizes x ON x.token_hash = shared.src JOIN seqs p ON p.token_hash = shared.src JOIN seqs q ON q.token_hash = shared.tgt WHERE n_shared >= x.n * 0.1 AND list_has_any(p.src, q.tgt)",
     "lineage_summary": _LINEAGE,
     "id_statistics": f"""WITH {TRACKED_SQL}, one AS (SELECT count(*) AS rows, count(DISTINCT method_id) AS methods, count(*) FILTER (WHERE is_matched) AS matched, count(*) FILTER (WHERE is_deleted) AS deleted, count(*) FILTER (WHERE is_added) AS added,
   count(*) FILTER (WHERE is_sig_matched) AS signature_matched, count(*) FILTER (WHERE is_matched AND NOT is_sig_matched) AS similarity_matched, count(*) FILTER (WHERE is_absorbed) AS absorbed, count(*) FILTER (WHERE is_absorber) AS absorbers,
@@ -228,6 +228,7 @@ SELECT b.revision_id, b.block_id, r.root AS global_block_id FROM blocks b JOIN r
     "rates_by_clone": _with_average(_BY_CLONE),
     "rates_by_similarity": _with_average(_BY_SIMILARITY),
     "rate_series": _rate_table(_BY_CLONE) + " " + " UNION ALL ".join(f"SELECT prev_revision_id AS revision, '{n}' AS metric, {n} AS value FROM rates" for n, _ in _BY_CLONE),
+    "similarity_rate_series": _rate_table(_BY_SIMILARITY) + " " + " UNION ALL ".join(f"SELECT prev_revision_id AS revision, '{n}' AS metric, {n} AS value FROM rates" for n, _ in _BY_SIMILARITY),
     "similarity_counts": f"WITH {ENRICHED_SQL} SELECT CASE WHEN median_similarity >= 90 THEN 'high' ELSE 'low' END AS level, count(*) FILTER (WHERE is_matched) AS n_matched, count(*) FILTER (WHERE NOT is_matched) AS n_unmatched FROM enriched WHERE median_similarity >= 70 GROUP BY level",
     "signed_rank_by_clone": _signed_ranks(_BY_CLONE, CLONE_METRICS),
     "clone_groups": f"WITH RECURSIVE {PAIRS_SQL}, {_CUMULATIVE} SELECT * FROM groups",
