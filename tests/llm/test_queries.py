@@ -1,0 +1,21 @@
+"""Registered llm queries against their SQL on the smallest tables."""
+
+import pytest
+from compare import against_sql
+from conftest import SMALL
+
+from strata.llm.queries import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_equals_sql(spark, con, name):
+    got, want, a, b = against_sql(spark, con, name, QUERIES[name], ORACLES[name], SMALL)
+    assert a == b
+    assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_runs(spark, con, name):
+    df = QUERIES[name](spark, SMALL)
+    assert df.count() >= 0
+    assert len(df.columns) == len(set(df.columns))
