@@ -43,6 +43,20 @@ def lcs_length(a, b) -> int:
     return len(tails)
 
 
+def banded_lcs_length(a, b, band: int) -> int:
+    """LCS length over matches at most `band` places apart: a lower bound, exact if the band is as wide as the longer sequence."""
+    places: dict[int, list[int]] = defaultdict(list)
+    for j in range(len(b) - 1, -1, -1):
+        places[b[j]].append(j)
+    tails: list[int] = []
+    for i, token in enumerate(a):
+        for j in places.get(token, ()):
+            if abs(i - j) <= band:
+                k = bisect_left(tails, j)
+                tails[k : k + 1] = [j]
+    return len(tails)
+
+
 def lcs_ratio(a, b) -> float:
     """LCS length over the length of a; common ends are taken off first."""
     n, m = len(a), len(b)
@@ -70,6 +84,13 @@ def round_like_python(x: pd.Series, digits: pd.Series) -> pd.Series:
     return pd.Series([None if v != v else round(v, int(d)) for v, d in zip(x, digits)], dtype="float64")
 
 
+def minhash_bands(grams: Column, bands: int, rows: int) -> Column:
+    """One 64-bit digest per band of a set's minhashes; null for an empty set."""
+    least = lambda i: F.array_min(F.transform(grams, lambda g: F.xxhash64(i, g)))
+    band = lambda b: F.xxhash64(b, *[least(b * rows + r) for r in range(rows)])
+    return F.when(F.size(grams) > 0, F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band))
+
+
 def lcs_native(a: Column, b: Column) -> Column:
     """LCS length in built-in functions; for short sequences and tests, since it copies arrays for every token."""
     zero = F.transform(F.sequence(F.lit(0), F.size(a)), lambda _: F.lit(0))

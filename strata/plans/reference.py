@@ -77,6 +77,11 @@ def similar_sequences(spark, d):
     return matching.similar_sequences(blocks(spark, d, tokens=True))
 
 
+@query
+def similar_sequences_by_lsh(spark, d):
+    return matching.similar_sequences(blocks(spark, d, tokens=True), approximate=True)
+
+
 def _matches(spark, d, prefer=True):
     b = stored(blocks(spark, d, tokens=True))
     similar = stored(matching.similar_sequences(b))
@@ -322,14 +327,18 @@ def score_correlation(spark, d):
 # Audits
 
 
-@query
-def method_states(spark, d):
+def method_states_of(spark, d):
     t = enriched(spark, d)
     after = blocks(spark, d).select(F.col("revision_id").alias("_r"), F.col("file_path").alias("_f"), F.col("method_name").alias("_m"), F.col("token_hash").alias("curr_token_hash"))
     t = t.join(after, (F.col("curr_revision_id") == F.col("_r")) & F.col("curr_file_path").eqNullSafe(F.col("_f")) & F.col("curr_method_name").eqNullSafe(F.col("_m")), "left")
     return audits.method_states(t).select("method_id", "prev_revision_id", "state")
 
 
+@query
+def method_states(spark, d):
+    return method_states_of(spark, d)
+
+
 def _with_lines(spark, d):
     t = enriched(spark, d)
     b = blocks(spark, d)
@@ -339,6 +348,20 @@ def _with_lines(spark, d):
     return audits.merge_splits(t)
 
 
+@query
+def state_counts(spark, d):
+    """Methods by state and revision, their clone rate and changes."""
+    return method_states_of(spark, d).groupBy("prev_revision_id", "state").agg(F.count("*").alias("n"))
+
+
+@query
+def method_overview(spark, d):
+    """One row: rows, methods, share of rows with clones, mean and longest life in revisions."""
+    t = enriched(spark, d).where("prev_revision_id is not null")
+    methods = t.groupBy("method_id").agg(F.count("*").alias("n"), F.count_if("has_clone").alias("c"), F.count_distinct("prev_revision_id").alias("life"))
+    return methods.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_methods"), (F.sum("c") / F.sum("n")).alias("clone_rate"), F.avg("life").alias("mean_lifetime"), F.max("life").alias("longest_lifetime"))
+
+
 @query
 def merge_splits(spark, d):
     return _with_lines(spark, d).select("method_id", "prev_revision_id", "prev_loc", "curr_loc", "is_split", "is_merged", "is_modified")

@@ -36,6 +36,7 @@ def test_lcs(a, b):
 
     n = textbook_lcs(a, b)
     assert sequences.lcs_length(a, b) == n <= min(len(a), len(b))
+    assert sequences.banded_lcs_length(a, b, 30) == n >= sequences.banded_lcs_length(a, b, 2)
     assert sequences.lcs_ratio(np.array(a, int), np.array(b, int)) == (n / len(a) if a else 0.0)
 
 
@@ -77,6 +78,9 @@ def test_matching_brute_force(spark):
         if grams(s) and len(grams(s) & grams(t)) >= 0.1 * len(grams(s)) and textbook_lcs(s, t) >= 0.7 * len(s):
             want[a, b] = round(textbook_lcs(s, t) / len(s), 2)
     assert {k: v for k, v in got.items() if k in want or k[0] != k[1]} == want
+    near = {(r["src"], r["tgt"]) for r in matching.similar_sequences(blocks, approximate=True).collect()}
+    surely = {k for k in want if len(grams(seqs[k[0]]) & grams(seqs[k[1]])) >= 0.6 * len(grams(seqs[k[0]]) | grams(seqs[k[1]]))}
+    assert len(near & surely) >= 0.9 * len(surely)
     best = matching.similarity_match(blocks, similar).collect()
     assert len(best) == 24
     for r in best:
