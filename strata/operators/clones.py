@@ -51,20 +51,20 @@ def least_labels(edges: DataFrame, by: str) -> DataFrame:
     """
     ends = edges.where(f"a is not null and b is not null and {by} is not null").select(F.col(by).alias("g"), "a", "b")
     both = stored(ends.select("g", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("g", "e.x", "e.y").distinct())
-    at = Stored(both.groupBy("g", "x").agg(F.least(F.min("y"), F.col("x")).alias("label")).select("g", F.col("x").alias("node"), "label"))
+    at = Stored(both.groupBy("g", "x").agg(F.least(F.min("y"), F.col("x")).alias("label")).select("g", F.col("x").alias("node"), "label", F.lit(True).alias("moved")))
     while True:
-        here = at.df
+        here = at.df.select("g", "node", "label")
         around = both.join(here.select("g", F.col("node").alias("y"), "label"), ["g", "y"]).groupBy("g", F.col("x").alias("node")).agg(F.min("label").alias("near"))
         hooked = here.join(around, ["g", "node"]).select("g", "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         # The least seen from any of a label's members lowers the label itself.
         pull = hooked.groupBy("g", F.col("old").alias("label")).agg(F.min("label").alias("lower"))
-        new = Stored(hooked.join(pull, ["g", "label"], "left").select("g", "node", "old", F.least("label", F.coalesce("lower", "label")).alias("label")))
-        moved = not new.df.where("label <> old").isEmpty()
+        lowest = F.least("label", F.coalesce("lower", "label"))
+        new = Stored(hooked.join(pull, ["g", "label"], "left").select("g", "node", lowest.alias("label"), (lowest != F.col("old")).alias("moved")))
+        moved = not new.df.where("moved").isEmpty()
         at.drop()
-        at = Stored(new.df.select("g", "node", "label"))
-        new.drop()
+        at = new
         if not moved:
-            return at.df.withColumnRenamed("g", by)
+            return at.df.select(F.col("g").alias(by), "node", "label")
 
 
 def cumulative_groups(pairs: DataFrame, per_revision: bool = False) -> DataFrame:
