@@ -174,16 +174,16 @@ def drift_test(df: DataFrame, table: str, key: str, load: str, columns: list[str
     spark = df.sparkSession
     out = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("load", T.StringType()), T.StructField("column_name", T.StringType()), T.StructField("n_before", T.LongType()), T.StructField("n_after", T.LongType()), T.StructField("auc", T.DoubleType()), T.StructField("auc_drop", T.DoubleType()), T.StructField("drifted", T.BooleanType())])
     logs = {c: F.signum(_values(df, c)) * F.log1p(F.abs(_values(df, c))) for c in columns}
-    rows = df.where(F.col(load).isNotNull())
+    rows = df.where(F.col(load).isNotNull()).select(*dict.fromkeys([key, load, *columns]))
     # One row per load: a small table, whose size is the number of loads.
     loads = [r[0] for r in rows.select(F.col(load).alias("l")).distinct().orderBy("l").collect()]
     if len(loads) < 2:
         return spark.createDataFrame([], out)
     scale = rows.agg(*[f(logs[c]).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    number = spark.createDataFrame([(x, i) for i, x in enumerate(loads)], T.StructType([T.StructField("_l", df.schema[load].dataType), T.StructField("o", T.IntegerType())]))
+    number = spark.createDataFrame([(x, i) for i, x in enumerate(loads)], T.StructType([T.StructField("_load", df.schema[load].dataType), T.StructField("_number", T.IntegerType())]))
     feats = stored(
-        rows.join(F.broadcast(number), F.col(load) == F.col("_l")).select(
-            "o",
+        rows.join(F.broadcast(number), F.col(load) == F.col("_load")).select(
+            F.col("_number").alias("o"),
             F.pmod(digest(F.col(key), seed=7), F.lit(2)).cast("int").alias("fold"),
             *[F.when(logs[c].isNotNull(), (logs[c] - F.lit(scale[f"m{i}"] or 0.0)) / F.lit(scale[f"s{i}"] or 1.0)).cast("float").alias(f"x{i}") for i, c in enumerate(columns)],
         )
@@ -263,7 +263,7 @@ def drift_test(df: DataFrame, table: str, key: str, load: str, columns: list[str
     hist[got["i"].to_numpy()] = got["n"].to_numpy()
     hist = hist.reshape(pairs, 2, variants, 2, SCORE_BINS)
     result = []
-    stamps = [r[0] for r in number.orderBy("o").select(stamp("_l")).collect()]
+    stamps = [r[0] for r in number.orderBy("_number").select(stamp("_load")).collect()]
     for p in range(pairs):
         n0, n1 = (int(hist[p, :, 0, s].sum()) for s in (0, 1))
         se = float(np.sqrt((n0 + n1 + 1) / (12 * n0 * n1))) if n0 and n1 else 0.0

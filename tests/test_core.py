@@ -231,7 +231,7 @@ def test_findings(spark):
 def test_drift(spark):
     rnd = random.Random(1)
     rows = [(i, when(1 + i % 3), rnd.gauss(100, 10) * (3 if i % 3 == 2 else 1), rnd.gauss(5, 1)) for i in range(3000)]
-    df = spark.createDataFrame(rows, "k long, s timestamp_ntz, x double, y double")
+    df = spark.createDataFrame(rows, "k long, s timestamp_ntz, x double, y double").withColumns({c: F.lit(1) for c in ("o", "fold", "x0", "l")})
     got = {(r["load"][:8], r["column_name"]): r for r in quality.drift_test(df, "t", "k", "s", ["x", "y"]).collect()}
     assert not got["20240102", "*"]["drifted"] and abs(got["20240102", "*"]["auc"] - 0.5) < 0.06
     assert got["20240103", "*"]["drifted"] and got["20240103", "*"]["auc"] > 0.95
