@@ -168,7 +168,7 @@ def test_clones(spark):
 
 
 def test_long_chain_of_clones(spark):
-    rows = [(R[0], f"{i:04}", f"{i + 1:04}", 1.0, 1.0) for i in range(120)]
+    rows = [(R[0], f"{i:04}", f"{i + 1:04}", 1.0, 1.0) for i in range(30)]
     assert clones.cumulative_groups(spark.createDataFrame(rows, P)).select("group_id").distinct().collect()[0][0] == "0000"
 
 
