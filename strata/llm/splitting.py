@@ -21,6 +21,9 @@ _SECTION = re.compile(r"#{1,6} |-{3,}|={3,}|```")
 _UNIT = re.compile(r"(?:async def|def|class|function|func|public|private|static|fn|impl|@)\b|@|diff |commit |\* |- |\d+\. |\|")
 _SENTENCE = re.compile(r"""[.!?]["')\]]*$|[。！？]["'」』）]*$""")
 
+#: Last characters of pieces that may bear on a boundary: white space, ends of sentences, closing marks.
+_TELLING = frozenset(" \t\n\r\x0b\x0c\x85\xa0\u2028\u2029\u3000.!?。！？\"')]」』）" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x1C, 0x1D, 0x1E, 0x1F))))
+
 
 def boundary_strengths(pieces: list[str]) -> np.ndarray:
     """For each cut piece of a text, the strength of the boundary before it.
@@ -28,11 +31,14 @@ def boundary_strengths(pieces: list[str]) -> np.ndarray:
     White space that holds a line end and the indentation of the next line belongs to the next line, a line end alone to
     the line before: a boundary lies before the former and behind the latter.
     """
-    out = np.full(len(pieces), NONE, np.int8)
-    for i, p in enumerate(pieces):
-        if not i:
-            continue
-        if p.isspace() and ("\n" in p or "\r" in p):
+    out = np.full(len(pieces), WORD, np.int8)
+    out[:1] = NONE
+    # Only pieces that end so can hold a line end or end a sentence; the others have boundaries between words.
+    for i in [i for i, p in enumerate(pieces) if p[-1] in _TELLING or p[0] in "。！？"]:
+        p = pieces[i]
+        if i and p.isspace() and ("\n" in p or "\r" in p):
+            if out[i] == WORD:
+                out[i] = NONE
             ends = p[-1] in "\r\n"
             at = i + 1 if ends else i
             if at >= len(pieces):
@@ -50,13 +56,14 @@ def boundary_strengths(pieces: list[str]) -> np.ndarray:
             else:
                 kind = LINE
             out[at] = max(out[at], kind)
-        elif p[0] in "。！？" and i + 1 < len(pieces):
+        elif i and p[0] in "。！？" and i + 1 < len(pieces):
+            if out[i] == WORD:
+                out[i] = NONE
             out[i + 1] = max(out[i + 1], SENTENCE)
-        elif out[i] == NONE:
-            if p[0] == " " and _SENTENCE.search(pieces[i - 1]):
-                out[i] = SENTENCE
-            else:
-                out[i] = WORD
+        if i + 1 < len(pieces) and pieces[i + 1][0] == " " and out[i + 1] == WORD and _SENTENCE.search(p):
+            follows = pieces[i + 1]
+            if not (follows.isspace() and ("\n" in follows or "\r" in follows)):
+                out[i + 1] = SENTENCE
     return out
 
 
