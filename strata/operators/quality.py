@@ -157,23 +157,44 @@ def column_profile(df: DataFrame, table: str, ranges: dict[str, tuple[float | No
     ).select(F.lit(table).alias("table_name"), "*")
 
 
-def drift_test(df: DataFrame, table: str, key: str, load: str, columns: list[str], iterations: int = 8, ridge: float = 1e-3, sigmas: float = 4.0) -> DataFrame:
+def _magnitude(df: DataFrame, c: str, load: str, identifiers: list[str]) -> Column:
+    """A column as a number whose distribution can be compared between loads: a number as it is, a text's length, an array's size,
+    a timestamp's seconds since its load (the time itself only tells loads apart), 0 for identifiers. Null for null and NaN."""
+    t = df.schema[c].dataType
+    if c in identifiers:
+        return F.when(F.col(c).isNotNull(), 0.0)
+    if isinstance(t, T.StringType):
+        return F.length(c).cast("double")
+    if isinstance(t, (T.ArrayType, T.MapType)):
+        return F.when(F.col(c).isNotNull(), F.size(c)).cast("double")
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.timestamp_diff("SECOND", F.col(load).cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz")).cast("double")
+    return _values(df, c)
+
+
+def drift_test(df: DataFrame, table: str, key: str, load: str, columns: list[str], iterations: int = 8, ridge: float = 1e-3, sigmas: float = 4.0, identifiers: list[str] | None = None, bits: int = 8) -> DataFrame:
     """Classifier two-sample tests between each load and the one before.
 
     For every pair of loads a logistic regression learns to tell their rows apart from, per column, the standardised
-    signed logarithm, its square and whether it is null (NaN counts as null). Two folds by hash of the key are
-    cross-fitted: each half is scored by the model of the other. AUC near 0.5 means the loads look alike. Each column
-    is then left out in turn; `auc_drop` is what the others can't make up for. All pairs, folds and ablations are
-    fitted together by Newton's method: a pass over the stored features adds up every model's gradient and Hessian
-    per partition (numpy), and only these sums, bounded by loads x columns, reach the driver. All rows are used.
-
-    Returns table_name, load, column_name (`*` for the whole model), n_before, n_after, auc, auc_drop, drifted (AUC
-    above 0.5 by `sigmas` standard errors; for a column: its drop by as much). Loads are stamps. A null load is left
-    out; fewer than two loads give no rows; a pair whose side has no rows in one fold scores 0.5.
+    signed logarithm of its number (of a text the length, of an array the size, of a timestamp the seconds since the load),
+    its square and whether it is null (NaN counts as null); texts, arrays and `identifiers` (numbers without magnitude) also
+    have the lowest `bits` of a hash of their value as indicators (two values differ in none once in 2**bits). Two folds by hash of the key are cross-fitted: each half is scored
+    by the model of the other. AUC near 0.5 means the loads look alike. Each column is then left out in turn; `auc_drop` is
+    what the others can't make up for. It is 0 for all where one column tells the loads apart by itself, so each column is
+    also tested alone (`auc_alone`). All pairs, folds and models are fitted together by Newton's method: a pass over the
+    stored features adds up every model's gradient and Hessian per partition (numpy), and only these sums, bounded by
+    loads x columns, reach the driver. All rows are used.
+
+    Returns table_name, load, column_name (`*` for the whole model), n_before, n_after, auc, auc_drop, auc_alone, drifted (AUC
+    above 0.5 by `sigmas` standard errors; for a column: its AUC alone, or its drop by as much). Loads are stamps. A null load
+    is left out; fewer than two loads give no rows; a pair whose side has no rows in one fold scores 0.5.
     """
     spark = df.sparkSession
-    out = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("load", T.StringType()), T.StructField("column_name", T.StringType()), T.StructField("n_before", T.LongType()), T.StructField("n_after", T.LongType()), T.StructField("auc", T.DoubleType()), T.StructField("auc_drop", T.DoubleType()), T.StructField("drifted", T.BooleanType())])
-    logs = {c: F.signum(_values(df, c)) * F.log1p(F.abs(_values(df, c))) for c in columns}
+    identifiers = identifiers or []
+    out = T.StructType([T.StructField("table_name", T.StringType()), T.StructField("load", T.StringType()), T.StructField("column_name", T.StringType()), T.StructField("n_before", T.LongType()), T.StructField("n_after", T.LongType()), T.StructField("auc", T.DoubleType()), T.StructField("auc_drop", T.DoubleType()), T.StructField("auc_alone", T.DoubleType()), T.StructField("drifted", T.BooleanType())])
+    sizes = {c: _magnitude(df, c, load, identifiers) for c in columns}
+    logs = {c: F.signum(x) * F.log1p(F.abs(x)) for c, x in sizes.items()}
+    hashed = [i for i, c in enumerate(columns) if c in identifiers or isinstance(df.schema[c].dataType, (T.StringType, T.ArrayType))]
     rows = df.where(F.col(load).isNotNull()).select(*dict.fromkeys([key, load, *columns]))
     # One row per load: a small table, whose size is the number of loads.
     loads = [r[0] for r in rows.select(F.col(load).alias("l")).distinct().orderBy("l").collect()]
@@ -186,22 +207,27 @@ def drift_test(df: DataFrame, table: str, key: str, load: str, columns: list[str
             F.col("_number").alias("o"),
             F.pmod(digest(F.col(key), seed=7), F.lit(2)).cast("int").alias("fold"),
             *[F.when(logs[c].isNotNull(), (logs[c] - F.lit(scale[f"m{i}"] or 0.0)) / F.lit(scale[f"s{i}"] or 1.0)).cast("float").alias(f"x{i}") for i, c in enumerate(columns)],
+            *[F.when(F.col(columns[i]).isNotNull(), F.pmod(digest(F.col(columns[i]), seed=11), F.lit(2**bits))).otherwise(0).cast("int").alias(f"h{i}") for i in hashed],
         )
     )
-    k, width, pairs = len(columns), 1 + 3 * len(columns), len(loads) - 1
-    variants = k + 1 if k > 1 else 1
-    live = np.ones((variants, width), bool)
-    for v in range(1, variants):
-        live[v, 1 + 3 * (v - 1) : 1 + 3 * v] = False
+    k, pairs = len(columns), len(loads) - 1
+    first = np.cumsum([1] + [3 + bits * (i in hashed) for i in range(k)])
+    width = int(first[-1])
+    own = [np.arange(first[i], first[i + 1]) for i in range(k)]
+    # The whole model, each column left out, each column alone.
+    live = [np.arange(width)] + ([np.setdiff1d(np.arange(width), c) for c in own] + [np.concatenate([[0], c]) for c in own] if k > 1 else [])
+    variants = len(live)
 
     def design(pdf: pd.DataFrame) -> np.ndarray:
-        x = np.empty((len(pdf), width))
+        x = np.zeros((len(pdf), width))
         x[:, 0] = 1
         for i in range(k):
             v = pdf[f"x{i}"].to_numpy(np.float64, na_value=np.nan)
             null = np.isnan(v)
             v = np.clip(np.where(null, 0, v), -8, 8)
-            x[:, 1 + 3 * i], x[:, 2 + 3 * i], x[:, 3 + 3 * i] = v, np.minimum(v * v, 16), null
+            x[:, first[i]], x[:, first[i] + 1], x[:, first[i] + 2] = v, np.minimum(v * v, 16), null
+            if i in hashed:
+                x[:, first[i] + 3 : first[i + 1]] = pdf[f"h{i}"].to_numpy()[:, None] >> np.arange(bits) & 1
         return x
 
     def of_pair(o: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,36 +235,48 @@ def drift_test(df: DataFrame, table: str, key: str, load: str, columns: list[str
         at = np.flatnonzero((o == p) | (o == p + 1))
         return at, (o[at] == p + 1).astype(float)
 
-    def sums(beta: np.ndarray):
+    def sums(beta: list[np.ndarray]):
+        """Per model the sum of gradients, then of Hessians: a row of bytes for each partition, added up by model."""
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            g, h = np.zeros((pairs, 2, variants, width)), np.zeros((pairs, 2, variants, width, width))
+            g, h = [np.zeros((pairs, 2, len(w))) for w in live], [np.zeros((pairs, 2, len(w), len(w))) for w in live]
             for pdf in batches:
                 x, o, fold = design(pdf), pdf["o"].to_numpy(), pdf["fold"].to_numpy()
                 for p in range(pairs):
                     at, y = of_pair(o, p)
                     for f in (0, 1):
                         use = fold[at] != f
-                        xs, ys = x[at[use]], y[use]
+                        whole, ys = x[at[use]], y[use]
                         if not len(ys):
                             continue
-                        for v in range(variants):
-                            q = 1 / (1 + np.exp(-np.clip(xs @ beta[p, f, v], -30, 30)))
-                            g[p, f, v] += xs.T @ (ys - q)
-                            h[p, f, v] += (xs * (q * (1 - q))[:, None]).T @ xs
-            yield pd.DataFrame({"i": np.arange(g.size + h.size), "v": np.concatenate([g.ravel(), h.ravel()])})
-
-        got = feats.mapInPandas(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
-        return got[: pairs * 2 * variants * width].reshape(pairs, 2, variants, width), got[pairs * 2 * variants * width :].reshape(pairs, 2, variants, width, width)
-
-    beta = np.zeros((pairs, 2, variants, width))
+                        for v, w in enumerate(live):
+                            xs = whole[:, w]
+                            q = 1 / (1 + np.exp(-np.clip(xs @ beta[v][p, f], -30, 30)))
+                            g[v][p, f] += xs.T @ (ys - q)
+                            xs *= np.sqrt(q * (1 - q))[:, None]
+                            h[v][p, f] += xs.T @ xs
+            ids = list(np.ndindex(pairs, 2, variants))
+            yield pd.DataFrame({"i": np.arange(len(ids)), "v": [np.concatenate([g[v][p, f], h[v][p, f].ravel()]).tobytes() for p, f, v in ids]})
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(len(pdf["v"].iloc[0]) // 8)
+            for part in pdf["v"]:
+                total += np.frombuffer(part)
+            return pd.DataFrame({"i": pdf["i"].iloc[:1], "v": [total.tobytes()]})
+
+        got = feats.mapInPandas(run, "i long, v binary").groupBy("i").applyInPandas(add, "i long, v binary").toPandas()
+        return {int(i): np.frombuffer(v) for i, v in zip(got["i"], got["v"])}
+
+    beta = [np.zeros((pairs, 2, len(w))) for w in live]
     for _ in range(iterations):
-        g, h = sums(beta)
+        total = sums(beta)
         move = 0.0
-        for at in np.ndindex(pairs, 2, variants):
-            on = live[at[2]]
-            step = np.linalg.solve(h[at][np.ix_(on, on)] + ridge * max(1.0, h[at][0, 0]) * np.eye(on.sum()), g[at][on] - ridge * beta[at][on])
+        for i, (p, f, v) in enumerate(np.ndindex(pairs, 2, variants)):
+            n = len(live[v])
+            g, h = total[i][:n], total[i][n:].reshape(n, n)
+            step = np.linalg.solve(h + ridge * max(1.0, h[0, 0]) * np.eye(n), g - ridge * beta[v][p, f])
             step = np.clip(step, -4, 4)
-            beta[at][on] += step
+            beta[v][p, f] += step
             move = max(move, np.abs(step).max())
         if move < 1e-4:
             break
@@ -251,9 +289,9 @@ def drift_test(df: DataFrame, table: str, key: str, load: str, columns: list[str
                 at, y = of_pair(o, p)
                 for f in (0, 1):
                     use = fold[at] == f
-                    xs, ys = x[at[use]], y[use].astype(int)
-                    for v in range(variants):
-                        q = 1 / (1 + np.exp(-np.clip(xs @ beta[p, f, v], -30, 30)))
+                    whole, ys = x[at[use]], y[use].astype(int)
+                    for v, w in enumerate(live):
+                        q = 1 / (1 + np.exp(-np.clip(whole[:, w] @ beta[v][p, f], -30, 30)))
                         np.add.at(hist[p, f, v], (ys, np.minimum((q * SCORE_BINS).astype(int), SCORE_BINS - 1)), 1)
         i = np.flatnonzero(hist)
         yield pd.DataFrame({"i": i, "n": hist.ravel()[i]})
@@ -275,6 +313,6 @@ def drift_test(df: DataFrame, table: str, key: str, load: str, columns: list[str
                 below = np.cumsum(a) - a
                 parts.append(float((b * (below + a / 2)).sum() / (a.sum() * b.sum())) if a.sum() and b.sum() else 0.5)
             aucs.append(sum(parts) / 2)
-        result.append((table, stamps[p + 1], "*", n0, n1, aucs[0], None, aucs[0] > 0.5 + sigmas * se))
-        result += [(table, stamps[p + 1], c, n0, n1, aucs[v + 1], aucs[0] - aucs[v + 1], aucs[0] - aucs[v + 1] > sigmas * se) for v, c in enumerate(columns) if variants > 1]
+        result.append((table, stamps[p + 1], "*", n0, n1, aucs[0], None, None, aucs[0] > 0.5 + sigmas * se))
+        result += [(table, stamps[p + 1], c, n0, n1, aucs[1 + v], aucs[0] - aucs[1 + v], aucs[1 + k + v], max(aucs[0] - aucs[1 + v], aucs[1 + k + v] - 0.5) > sigmas * se) for v, c in enumerate(columns) if variants > 1]
     return spark.createDataFrame(result, out)

@@ -62,8 +62,11 @@ def p7_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_drift(spark: SparkSession, d: str) -> DataFrame:
-    blocks = quality.drift_test(table(spark, d, "code_blocks"), "code_blocks", "block_id", "revision_id", ["start_line", "end_line"])
-    pairs = quality.drift_test(table(spark, d, "clone_pairs"), "clone_pairs", "pair_id", "revision_id", ["ngram_overlap", "verify_similarity"])
+    """Every column but the key and the load itself; the blocks of a pair are references, whose size means nothing."""
+    rows = {s.table: table(spark, d, s.table) for s in (quality.CODE_BLOCKS, quality.CLONE_PAIRS)}
+    columns = {s.table: [c for c in rows[s.table].columns if c not in (s.key, s.load)] for s in (quality.CODE_BLOCKS, quality.CLONE_PAIRS)}
+    blocks = quality.drift_test(rows["code_blocks"], "code_blocks", "block_id", "revision_id", columns["code_blocks"])
+    pairs = quality.drift_test(rows["clone_pairs"], "clone_pairs", "pair_id", "revision_id", columns["clone_pairs"], identifiers=["block_id_1", "block_id_2"])
     return blocks.unionByName(pairs)
 
 

@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from strata.functions.text import digest, squeeze, stamp
 from strata.operators import history, quality, record_parser, snapshot_diff
 from strata.operators.deliveries import latest
+from strata.plans import core
 
 H = "0123456789abcdef0123456789abcdef"
 
@@ -237,3 +239,29 @@ def test_drift(spark):
     assert got["20240103", "*"]["drifted"] and got["20240103", "*"]["auc"] > 0.95
     assert got["20240103", "x"]["drifted"] and not got["20240103", "y"]["drifted"]
     assert quality.drift_test(df.where("s < '2024-01-02'"), "t", "k", "s", ["x", "y"]).count() == 0
+
+
+def test_drift_of_every_column(spark):
+    """One column shifts with each load; `release`, which alone tells all loads apart, hides none of them."""
+    rnd = random.Random(2)
+    rows = []
+    for i in range(4800):
+        day = 1 + i % 8
+        kind = rnd.choice(["int", "str"])
+        rows.append((
+            i, when(day), f"r{day}",
+            None if day == 2 and rnd.random() < 0.3 else kind,
+            kind * (5 if day == 3 else 1),
+            "abc" if day == 4 and rnd.random() < 0.5 else rnd.choice(["abc", "xyz"]),
+            [1] * rnd.randrange(1, 6 if day != 5 else 12),
+            rnd.randrange(9) if day != 6 else 3,
+            when(day) + dt.timedelta(minutes=rnd.randrange(1, 60) * (9 if day == 7 else 1)),
+        ))
+    df = spark.createDataFrame(rows, "k long, s timestamp_ntz, release string, nulls string, longer string, other string, sizes array<int>, ref long, at timestamp_ntz")
+    columns = ["release", "nulls", "longer", "other", "sizes", "ref", "at"]
+    got = {(int(r["load"][6:8]), r["column_name"]): r["drifted"] for r in quality.drift_test(df, "t", "k", "s", columns, identifiers=["ref"]).collect()}
+    assert all(got[d, "release"] and got[d, "*"] for d in range(2, 9))
+    for at, c in enumerate(columns[1:], 2):
+        assert [d for d in range(2, 9) if got[d, c]] == [at, at + 1], c
+    columns = core.p7_drift(spark, SMALL).select("table_name", "column_name").distinct().collect()
+    assert {tuple(r) for r in columns if r[1] != "*"} == {("code_blocks", c) for c in "file_path start_line end_line method_name return_type parameters commit_hash token_hash token_sequence loaded_at".split()} | {("clone_pairs", c) for c in "block_id_1 block_id_2 ngram_overlap verify_similarity loaded_at".split()}
