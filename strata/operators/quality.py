@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,12 +35,30 @@ CODE_BLOCKS = TableChecks("code_blocks", "block_id", "revision_id", {"start_line
 CLONE_PAIRS = TableChecks("clone_pairs", "pair_id", "revision_id", {"ngram_overlap": (0, 100)})
 
 
+def _uneven(c: Column) -> Column:
+    """A text that is empty, has outer or repeated white space, control characters or U+FFFD."""
+    return c.rlike(r"\A\z|\A | \z|  |[\x00-\x1F\x7F\x{FFFD}]")
+
+
+#: What a profile checks beyond the defined findings: all ranges (of an array: of its elements), and the form of texts.
+PROFILE_RANGES: dict[str, dict[str, tuple[float | None, float | None]]] = {
+    "code_blocks": CODE_BLOCKS.ranges | {"token_sequence": (0, None)},
+    "clone_pairs": CLONE_PAIRS.ranges | {"verify_similarity": (0, 100)},
+}
+PROFILE_FORMS: dict[str, dict[str, Callable[[Column], Column]]] = {
+    "code_blocks": {"token_hash": lambda c: ~c.rlike(r"\A[0-9a-f]{32}\z"), "commit_hash": lambda c: ~c.rlike(r"\A[0-9a-f]{7,40}\z")} | dict.fromkeys(("file_path", "method_name", "return_type", "parameters"), _uneven),
+    "clone_pairs": {},
+}
+
+
 def _is_float(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
 
 
 def _impossible(df: DataFrame, c: str, bounds: tuple[float | None, float | None]) -> Column:
     low, high = bounds
+    if isinstance(df.schema[c].dataType, T.ArrayType):
+        return F.exists(c, lambda x: x.isNull() | (F.lit(False) if low is None else x < low) | (F.lit(False) if high is None else x > high))
     bad = F.lit(False)
     if low is not None:
         bad = bad | (F.col(c) < low)
@@ -157,6 +175,28 @@ def column_profile(df: DataFrame, table: str, ranges: dict[str, tuple[float | No
     ).select(F.lit(table).alias("table_name"), "*")
 
 
+def column_details(df: DataFrame, table: str, ranges: dict[str, tuple[float | None, float | None]], forms: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """column_profile with min_text and max_text (order of bytes), min_time and max_time, min_size and max_size (characters of a
+    text, elements of an array), null for other types and without values, and n_malformed: values that `forms` finds fault with.
+
+    The additions are one aggregation to a single row, so no text is shuffled.
+    """
+    none = {"text": F.lit(None).cast("string"), "time": F.lit(None).cast("timestamp_ntz"), "size": F.lit(None).cast("long")}
+    rows = []
+    for f in df.schema.fields:
+        c, seen = F.col(f.name), dict(none)
+        if isinstance(f.dataType, T.StringType):
+            seen |= {"text": c, "size": F.length(c).cast("long")}
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            seen["size"] = F.when(c.isNotNull(), F.size(c)).cast("long")
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            seen["time"] = c.cast("timestamp_ntz")
+        ends = [g(x).alias(f"{n}_{kind}") for kind, x in seen.items() for n, g in (("min", F.min), ("max", F.max))]
+        rows.append(F.struct(F.lit(f.name).alias("column_name"), *ends, (F.count_if(forms[f.name](c)) if f.name in forms else F.lit(0).cast("long")).alias("n_malformed")))
+    details = df.agg(F.array(*rows).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    return column_profile(df, table, ranges).join(F.broadcast(details), "column_name").select("table_name", "column_name", "n_rows", "n_null", "n_distinct", "min_value", "max_value", *[f"{n}_{kind}" for kind in none for n in ("min", "max")], "n_impossible", "n_malformed")
+
+
 def _magnitude(df: DataFrame, c: str, load: str, identifiers: list[str]) -> Column:
     """A column as a number whose distribution can be compared between loads: a number as it is, a text's length, an array's size,
     a timestamp's seconds since its load (the time itself only tells loads apart), 0 for identifiers. Null for null and NaN."""

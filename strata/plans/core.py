@@ -61,6 +61,12 @@ def p7_profile(spark: SparkSession, d: str) -> DataFrame:
     return blocks.unionByName(pairs)
 
 
+def p7_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The profile with ranges of texts, timestamps and arrays, the scores p7_found doesn't name, and malformed texts."""
+    blocks, pairs = (quality.column_details(table(spark, d, t), t, ranges, quality.PROFILE_FORMS[t]) for t, ranges in quality.PROFILE_RANGES.items())
+    return blocks.unionByName(pairs)
+
+
 def p7_drift(spark: SparkSession, d: str) -> DataFrame:
     """Every column but the key and the load itself; the blocks of a pair are references, whose size means nothing."""
     rows = {s.table: table(spark, d, s.table) for s in (quality.CODE_BLOCKS, quality.CLONE_PAIRS)}
@@ -70,7 +76,7 @@ def p7_drift(spark: SparkSession, d: str) -> DataFrame:
     return blocks.unionByName(pairs)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_rows, p2_found, p2_changes, p5_found, p5_history, p7_found, p7_profile, p7_drift)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_rows, p2_found, p2_changes, p5_found, p5_history, p7_found, p7_profile, p7_columns, p7_drift)}
 
 
 def _squeeze(c: str) -> str:
@@ -156,6 +162,27 @@ def _profile(table_name: str, columns: list[str], numbers: dict[str, str | None]
     return out
 
 
+def _columns(table_name: str, checks: dict[str, tuple[str, str | None, str | None]]) -> str:
+    """SQL of p7_columns: per column its kind (number, text, time, array), and tests for impossible and for malformed values."""
+    out = []
+    for c, (kind, bad, malformed) in checks.items():
+        value = f"CASE WHEN NOT isnan(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) END" if kind == "number" else "CAST(NULL AS DOUBLE)"
+        text, time = c if kind == "text" else "CAST(NULL AS VARCHAR)", c if kind == "time" else "CAST(NULL AS TIMESTAMP)"
+        size = f"length({c})" if kind == "text" else f"len({c})" if kind == "array" else "CAST(NULL AS BIGINT)"
+        ends = ", ".join(f"{g}({x}) AS {g}_{n}" for n, x in (("value", value), ("text", text), ("time", time), ("size", size)) for g in ("min", "max"))
+        counts = ", ".join(f"count(*) FILTER (WHERE {test or 'false'}) AS {n}" for n, test in (("n_impossible", bad), ("n_malformed", malformed)))
+        out.append(f"SELECT '{table_name}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, {ends}, {counts} FROM {table_name}")
+    return " UNION ALL ".join(out)
+
+
+def _uneven(c: str) -> str:
+    return rf"{c} = '' OR {c} LIKE ' %' OR {c} LIKE '% ' OR {c} LIKE '%  %' OR regexp_matches({c}, '[\x00-\x1F\x7F\x{{FFFD}}]')"
+
+
+def _score(c: str) -> str:
+    return f"isnan({c}) OR NOT {c} BETWEEN 0 AND 100"
+
+
 _OUTSIDE = "ngram_overlap < 0 OR ngram_overlap > 100 OR isnan(ngram_overlap)"
 
 ORACLES: dict[str, str] = {
@@ -178,4 +205,15 @@ FROM checked WHERE reason IS NULL""",
         _profile("code_blocks", "block_id revision_id file_path start_line end_line method_name return_type parameters commit_hash token_hash token_sequence loaded_at".split(), {"block_id": None, "start_line": "start_line < 1", "end_line": "end_line < 1"})
         + _profile("clone_pairs", "pair_id revision_id block_id_1 block_id_2 ngram_overlap verify_similarity loaded_at".split(), {"pair_id": None, "block_id_1": None, "block_id_2": None, "ngram_overlap": _OUTSIDE, "verify_similarity": None})
     ),
+    "p7_columns": _columns(
+        "code_blocks",
+        {c: ("number", None, None) for c in ("block_id",)}
+        | {c: ("time", None, None) for c in ("revision_id", "loaded_at")}
+        | {c: ("number", f"{c} < 1", None) for c in ("start_line", "end_line")}
+        | {c: ("text", None, _uneven(c)) for c in ("file_path", "method_name", "return_type", "parameters")}
+        | {c: ("text", None, f"NOT regexp_full_match({c}, '[0-9a-f]{{{n}}}')") for c, n in (("commit_hash", "7,40"), ("token_hash", "32"))}
+        | {"token_sequence": ("array", "len(list_filter(token_sequence, lambda x: x IS NULL OR x < 0)) > 0", None)},
+    )
+    + " UNION ALL "
+    + _columns("clone_pairs", {c: ("number", None, None) for c in ("pair_id", "block_id_1", "block_id_2")} | {c: ("time", None, None) for c in ("revision_id", "loaded_at")} | {c: ("number", _score(c), None) for c in ("ngram_overlap", "verify_similarity")}),
 }

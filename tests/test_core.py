@@ -241,6 +241,17 @@ def test_drift(spark):
     assert quality.drift_test(df.where("s < '2024-01-02'"), "t", "k", "s", ["x", "y"]).count() == 0
 
 
+def test_column_details(spark):
+    rows = [(H, " f", [3, -1], when(2), 101.0), (H[:-1], "a  b", [], when(1), -0.5), (H + "\n", "", None, None, float("nan")), (None, "g h", [7, 8, 9], when(3), 100.0), (H.upper(), "x\x07", [1], when(2), None)]
+    df = spark.createDataFrame(rows, "token_hash string, method_name string, token_sequence array<int>, loaded_at timestamp_ntz, verify_similarity double")
+    ranges = quality.PROFILE_RANGES["code_blocks"] | quality.PROFILE_RANGES["clone_pairs"]
+    got = {r["column_name"]: r for r in quality.column_details(df, "t", ranges, quality.PROFILE_FORMS["code_blocks"]).collect()}
+    assert {c: (r["n_impossible"], r["n_malformed"]) for c, r in got.items()} == {"token_hash": (0, 3), "method_name": (0, 4), "token_sequence": (1, 0), "loaded_at": (0, 0), "verify_similarity": (3, 0)}
+    assert (got["token_hash"]["min_size"], got["token_hash"]["max_size"]) == (31, 33) and (got["method_name"]["min_text"], got["method_name"]["max_text"]) == ("", "x\x07")
+    assert (got["token_sequence"]["min_size"], got["token_sequence"]["max_size"]) == (0, 3) and (got["loaded_at"]["min_time"], got["loaded_at"]["max_time"]) == (when(1), when(3))
+    assert (got["verify_similarity"]["min_value"], got["verify_similarity"]["max_value"], got["verify_similarity"]["n_null"]) == (-0.5, 101.0, 1)
+
+
 def test_drift_of_every_column(spark):
     """One column shifts with each load; `release`, which alone tells all loads apart, hides none of them."""
     rnd = random.Random(2)
