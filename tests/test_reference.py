@@ -13,6 +13,8 @@ from strata import cli
 from strata.functions import responses, sequences
 from strata.functions.code import body_lines, effective_lines, last_component
 from strata.operators import audits, clones, lineage, matching, patterns, rates, rules, significance, survival
+from strata.plans import inputs
+from strata.session import stored
 from strata.sources import config, reports, repository, revisions
 from strata.streaming import incremental
 
@@ -89,6 +91,12 @@ def test_matching_brute_force(spark):
         assert r["is_sim_matched"] == bool(options) and r["is_sim_deleted"] == (not options)
 
 
+def test_lsh_recall_over_all_true_pairs(spark):
+    b = stored(inputs.blocks(spark, "/root/testdata/sf0.01", tokens=True))
+    exact, near = ({(r["src"], r["tgt"]) for r in matching.similar_sequences(b, approximate=a).where("src <> tgt").collect()} for a in (False, True))
+    assert len(exact) > 300 and len(near & exact) >= 0.9 * len(exact)
+
+
 def test_signature_matches_nulls(spark):
     t = [1, 2, 3, 4, 5, 6]
     blocks = spark.createDataFrame([block(0, "f", t), block(1, "f", t), block(0, "g", t, ret="int"), block(1, "g", t), block(2, "f", t, par=None)], B)
