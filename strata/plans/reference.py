@@ -445,6 +445,18 @@ def rule_outcomes(spark, d):
     return rules.classified_rows(s, "is_deleted", [f"rule_{r.name}" for r in _BY_PATTERN])
 
 
+@query
+def rule_evaluation_all(spark, d):
+    """All default rules; those over lines have no SQL."""
+    return rules.evaluate_rules(rules.apply_rules(_samples(spark, d), _RULES), "is_deleted", [f"rule_{r.name}" for r in _RULES])
+
+
+@query
+def rule_outcomes_all(spark, d):
+    s = rules.apply_rules(_samples(spark, d).select("snippet_id", "code", "function_name", "is_deleted"), _RULES).drop("code", "function_name")
+    return rules.classified_rows(s, "is_deleted", [f"rule_{r.name}" for r in _RULES])
+
+
 @query
 def deleted_soon(spark, d):
     rows = tracked(spark, d).where("prev_revision_id is not null").select("method_id", "prev_revision_id", "is_deleted")

@@ -5,6 +5,7 @@ import random
 import subprocess
 
 import pytest
+from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from strata import cli
 from strata.functions import responses, sequences
 from strata.functions.code import body_lines, effective_lines, last_component
 from strata.operators import audits, clones, lineage, matching, patterns, rates, rules, significance, survival
-from strata.plans import inputs
+from strata.plans import inputs, reference
 from strata.session import stored
 from strata.sources import config, reports, repository, revisions
 from strata.streaming import incremental
@@ -286,6 +287,27 @@ def test_patterns(spark):
     assert sample.count() == 30 and {r["id"] for r in sample.collect()} == {r["id"] for r in patterns.stratified_sample(spark.range(1000).repartition(9).withColumn("s", F.col("id") % 3), "id", "s", 10).collect()}
 
 
+def test_all_rules_are_evaluated(spark):
+    """The rules over lines by brute force, the others as in the queries that SQL follows."""
+    lines = {
+        "short_method": lambda c: len(plain_lines(c, True)) <= 3,
+        "empty_method": lambda c: all(x in ("pass", "...", "return", "return None") for x in plain_lines(c, False)),
+        "single_return": lambda c: len(plain_lines(c, False)) == 1 and plain_lines(c, False)[0].startswith("return"),
+    }
+    codes = {r["snippet_id"]: r["code"] for r in inputs.table(spark, SMALL, "code_snippets").collect()}
+    got = {(r["snippet_id"], r["rule"][5:]): r["outcome"] for r in reference.rule_outcomes_all(spark, SMALL).collect()}
+    known = {(r["snippet_id"], r["rule"][5:]): r["outcome"] for r in reference.rule_outcomes(spark, SMALL).collect()}
+    assert {r for _, r in got} == {r.name for r in rules.make_rules()} and len(got) == 12 * len(codes)
+    assert {k: v for k, v in got.items() if k[1] not in lines} == known
+    deleted = {i: o in ("TP", "FN") for (i, _), o in known.items()}
+    for name, test in lines.items():
+        for i, code in codes.items():
+            found = code is not None and test(code)
+            assert got[i, name] == ("TP" if deleted[i] else "FP") if found else got[i, name] == ("FN" if deleted[i] else "TN"), (name, code)
+    counts = {r["rule"][5:]: [r["tp"], r["fp"], r["fn"], r["tn"]] for r in reference.rule_evaluation_all(spark, SMALL).collect()}
+    assert counts == {n: [sum(v == k for (_, r), v in got.items() if r == n) for k in ("TP", "FP", "FN", "TN")] for n in {r for _, r in got}}
+
+
 REPORT = """# Group
 
 | Item | Value |
