@@ -245,6 +245,12 @@ def clone_group_report(spark, d):
     return clones.clone_group_report(group_snapshot(spark, d), 3)
 
 
+@query
+def clone_group_report_all(spark, d):
+    """Groups of two and more, the operator's default."""
+    return clones.clone_group_report(group_snapshot(spark, d))
+
+
 @query
 def group_tracking(spark, d):
     p = stored(pairs(spark, d))

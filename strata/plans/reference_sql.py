@@ -239,6 +239,7 @@ SELECT b.revision_id, b.block_id, r.root AS global_block_id FROM blocks b JOIN r
     "groups_deleted": _GROUP_STATUS + " SELECT prev_revision_id, group_id, count(*) AS n_members, CASE WHEN bool_and(is_deleted) THEN 'all_deleted' ELSE 'partial_deleted' END AS rev_status FROM stated WHERE prev_revision_id IS NOT NULL AND group_id IS NOT NULL GROUP BY prev_revision_id, group_id HAVING bool_or(is_deleted)",
     "group_snapshot": _SNAPSHOT + " SELECT * FROM snapshot",
     "clone_group_report": _SNAPSHOT + " SELECT * FROM snapshot WHERE n_members >= 3",
+    "clone_group_report_all": _SNAPSHOT + " SELECT * FROM snapshot WHERE n_members >= 2",
     "deletion_survival": _SURVIVAL + " SELECT method_id, prev_revision_id, survival_group, CASE survival_group WHEN 'Matched' THEN 'survived' WHEN 'Absorber' THEN 'took in others' WHEN 'Absorbed' THEN 'taken in' WHEN 'Deleted' THEN 'deleted' END AS group_label, relative_time, median_similarity FROM lives",
     "survival_counts": _SURVIVAL + " SELECT relative_time, survival_group, count(median_similarity) AS n_similar, count(*) - count(median_similarity) AS n_not_similar FROM lives WHERE survival_group IS NOT NULL GROUP BY ALL",
     "survival_boxes": _SURVIVAL

@@ -308,6 +308,12 @@ def test_all_rules_are_evaluated(spark):
     assert counts == {n: [sum(v == k for (_, r), v in got.items() if r == n) for k in ("TP", "FP", "FN", "TN")] for n in {r for _, r in got}}
 
 
+def test_clone_group_report_has_groups_of_two(spark):
+    sizes = lambda df: sorted(r["n_members"] for r in df.collect())
+    every, got, large = (sizes(q(spark, SMALL)) for q in (reference.group_snapshot, reference.clone_group_report_all, reference.clone_group_report))
+    assert 2 in got and got == [n for n in every if n >= 2] and large == [n for n in got if n > 2]
+
+
 REPORT = """# Group
 
 | Item | Value |
