@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions.code import strip
 from strata.functions.text import stamp
 from strata.operators import audits, clones, lineage, matching, patterns, rates, rules, significance, survival
 from strata.plans.core import p1_rows
@@ -505,7 +506,7 @@ def stratified_sample(spark, d):
 
 
 def _reports(spark, d):
-    return table(spark, d, "documents").where("lower(trim(source)) = 'clone_report' and text is not null").select("doc_id", "text")
+    return table(spark, d, "documents").where((F.lower(strip(F.col("source"))) == "clone_report") & F.col("text").isNotNull()).select("doc_id", "text")
 
 
 @query

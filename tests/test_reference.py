@@ -314,6 +314,14 @@ def test_clone_group_report_has_groups_of_two(spark):
     assert 2 in got and got == [n for n in every if n >= 2] and large == [n for n in got if n > 2]
 
 
+def test_reports_are_chosen_by_source_without_outer_white_space(spark, tmp_path):
+    names = ["clone_report", "clone_report\t", "\r\n Clone_Report\n", "\u00a0clone_report", "code", "clone report", "clone_report_2", None]
+    spark.createDataFrame([*((i, s, REPORT) for i, s in enumerate(names)), (9, "clone_report", None)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in reference.report_overview(spark, str(tmp_path)).collect()} == {0, 1, 2, 3}
+    assert {r["doc_id"] for r in reference.report_members(spark, str(tmp_path)).collect()} == {0, 1, 2, 3}
+    assert [(r["match_type"], r["n"]) for r in reference.report_match_types(spark, str(tmp_path)).collect()] == [("gapped", 4)]
+
+
 REPORT = """# Group
 
 | Item | Value |
