@@ -502,6 +502,12 @@ def stratified_sample(spark, d):
     return patterns.stratified_sample(_samples(spark, d).select("snippet_id", "is_deleted"), "snippet_id", "is_deleted", 50, order=F.col("snippet_id"))
 
 
+@query
+def stratified_sample_seeded(spark, d):
+    """50 samples of each state by the operator's own seeded hash of the id: random, so without SQL."""
+    return patterns.stratified_sample(_samples(spark, d).select("snippet_id", "is_deleted"), "snippet_id", "is_deleted", 50)
+
+
 # Clone reports
 
 

@@ -322,6 +322,18 @@ def test_reports_are_chosen_by_source_without_outer_white_space(spark, tmp_path)
     assert [(r["match_type"], r["n"]) for r in reference.report_match_types(spark, str(tmp_path)).collect()] == [("gapped", 4)]
 
 
+def test_seeded_sample(spark):
+    """Sizes, membership, the same rows each time, and no prefix of the ids."""
+    d = "/root/testdata/sf0.01"
+    of = lambda df: {r["snippet_id"]: r["is_deleted"] for r in df.collect()}
+    every, got, prefix = of(reference._samples(spark, d)), of(reference.stratified_sample_seeded(spark, d)), of(reference.stratified_sample(spark, d))
+    for state in (True, False):
+        ids = sorted(i for i, s in every.items() if s == state)
+        assert sum(s == state for s in got.values()) == min(50, len(ids))
+    assert got.items() <= every.items() and got == of(reference.stratified_sample_seeded(spark, d))
+    assert got != prefix and max(got) > 300
+
+
 REPORT = """# Group
 
 | Item | Value |
