@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from strata import cli
 from strata.functions import responses, sequences
 from strata.functions.code import body_lines, effective_lines, last_component
-from strata.operators import audits, clones, lineage, matching, patterns, rates, rules, significance, survival
+from strata.operators import audits, clones, history, lineage, matching, patterns, rates, rules, significance, survival
+from strata.operators.deliveries import latest
 from strata.plans import inputs, reference
 from strata.session import stored
 from strata.sources import config, reports, repository, revisions
@@ -500,3 +501,23 @@ def test_relabel_chains(spark):
 def test_cli(capsys):
     assert cli.main(["list"]) == 0 and "signature_match" in capsys.readouterr().out
     assert set(cli.COMMANDS.values()) <= set(cli.all_queries())
+
+
+def test_stream_history_in_any_order(spark, tmp_path):
+    """Late updates between equal ones and older redeliveries that arrive later: as from all rows at once."""
+    schema = "id long, at timestamp_ntz, loaded_at timestamp_ntz, v string"
+    day = lambda n: dt.datetime(2024, 5, n)
+    rnd = random.Random(5)
+    batches = [[(1, day(1), day(1), "A"), (1, day(3), day(3), "A"), (2, day(1), day(9), "new"), (3, day(1), day(1), "x")], [(1, day(2), day(9), "B"), (2, day(1), day(2), "old"), (None, day(1), day(1), "z")]]
+    batches += [[(rnd.randrange(4, 9), day(rnd.randrange(1, 8)), day(rnd.randrange(1, 28)), rnd.choice(["p", "q", None])) for _ in range(15)] for _ in range(2)]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        incremental.stream_history(stream, str(tmp_path / "dim"), str(tmp_path / "state"), ["id"], ["v"], "at", loaded="loaded_at").awaitTermination(120)
+        every = latest(spark.createDataFrame(sum(batches[: i + 1], []), schema), {"id": F.col("id"), "at": F.col("at")}, {"v": F.col("v")})
+        want = history.merge_versions(history.empty_dimension(every, ["id"], ["v"], "at"), every, ["id"], ["v"], "at")
+        got = incremental.VersionedTable(spark, str(tmp_path / "dim")).read()
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+        if i == 1:
+            assert [(r["v"], r["valid_from"]) for r in got.where("id = 1").orderBy("valid_from").collect()] == [("A", day(1)), ("B", day(2)), ("A", day(3))]
+            assert [r["v"] for r in got.where("id = 2").collect()] == ["new"]
