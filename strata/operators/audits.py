@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.code import last_component
 from strata.schemas import SIGNATURE
 
 
@@ -84,9 +83,12 @@ def audit_triples(tracked: DataFrame, steps: DataFrame, key: str) -> DataFrame:
 
 
 def audit_json(audit: DataFrame) -> DataFrame:
-    """(kind, revision_id, document): a JSON object per kind and revision, from each row to the rows it matched."""
-    entry = F.struct(F.col("row").cast("string").alias("key"), F.struct("matched").alias("value"))
-    return audit.groupBy("kind", "revision_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_set(entry)))).alias("document"))
+    """(kind, revision_id, row, document): each row's part of the audit's JSON object, from the row to the rows it matched.
+
+    A line of JSON for each row rather than one object for each revision, which would be as long as its methods; write it with
+    revisions.write_stage(..., "json", by=["kind", "revision_id"]).
+    """
+    return audit.select("kind", "revision_id", "row", F.to_json(F.create_map(F.col("row").cast("string"), F.struct("matched"))).alias("document"))
 
 
 def file_deletions(tracked: DataFrame, deleted_files: DataFrame, prefix: str = "") -> DataFrame:
@@ -118,9 +120,3 @@ def method_states(tracked: DataFrame) -> DataFrame:
         .otherwise(F.when(changed, "survived_modified").otherwise("survived_unchanged"))
     )
     return tracked.withColumn("state", state)
-
-
-def name_features(df: DataFrame, name: str) -> DataFrame:
-    """Adds last_component and is_private of a dotted name."""
-    last = last_component(name)
-    return df.withColumns({"last_component": last, "is_private": F.coalesce(last.startswith("_") & ~last.startswith("__"), F.lit(False))})

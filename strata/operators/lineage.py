@@ -6,14 +6,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.text import digest
+from strata.operators.clones import least_labels
 from strata.schemas import SIGNATURE
 from strata.session import stored
 
+#: Rows that are passed over in order in one task.
+ROWS_PER_TASK = 100_000
+
+
+def name_digest(*parts: Column) -> Column:
+    """128 bits (md5, as hexadecimal text) of texts in which null differs from every text and no two lists of parts run together."""
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]))
+
 
 def _node(side: str) -> Column:
     """A digest of a method in a revision."""
-    return digest(f"{side}_revision_id", *[f"{side}_{c}" for c in SIGNATURE], seed=41)
+    return name_digest(F.col(f"{side}_revision_id").cast("string"), *[F.col(f"{side}_{c}") for c in SIGNATURE])
 
 
 def _order(c: str) -> tuple[Column, Column]:
@@ -79,40 +87,48 @@ def id_statistics(assigned: DataFrame) -> DataFrame:
 
 
 def assign_ids_in_order(matches: DataFrame) -> DataFrame:
-    """Identifiers as the original analysis assigns them: one pass in order over a table of the keys now alive, without revisions.
+    """Identifiers as the original analysis assigns them: a pass in order over a table of the keys now alive, without revisions.
 
-    The order matters and one row may change what an earlier one became, so this runs in one task, on the matches only (a few
-    columns of one row per method and step). For parity checks; assign_ids is the form that scales.
+    A matched or deleted row takes its key out of the table and goes on under its number, or under a new one; a matched row
+    enters its new key, unless that is taken: then it is absorbed, and the row that holds the key is an absorber if that row kept its
+    signature or was added, else absorbed as well. An added row takes a new number and its key, whoever holds it.
+
+    The order matters and one row may change what an earlier one became. But rows act on each other through signatures
+    only, so signatures linked by rows, directly or through others (least_labels), are passed over by themselves. A set is as large as renames and merges make it; assign_ids needs no such pass and is the form for tables in which
+    a set outgrows a task. A number is the digest of the row that opened it, the same at every partitioning.
     """
     keys = [f"{s}_{c}" for s in ("prev", "curr") for c in SIGNATURE]
+    columns = ["prev_revision_id", "curr_revision_id", *keys, "is_sig_matched", "is_matched", "is_deleted", "is_added"]
+    sides = {s: name_digest(*[F.col(f"{s}_{c}") for c in SIGNATURE]) for s in ("prev", "curr")}
+    rows = matches.select(*columns, sides["prev"].alias("_p"), sides["curr"].alias("_c"), (~F.col("is_sig_matched")).cast("int").alias("_sig"), (-F.coalesce("similarity", F.lit(-1.0))).alias("_far"))
+    rows = stored(rows.withColumn("_row", name_digest(F.col("prev_revision_id").cast("string"), F.col("_p"), F.col("curr_revision_id").cast("string"), F.col("_c"))).withColumn("_own", F.when(F.col("is_added"), F.col("_c")).otherwise(F.col("_p"))))
+    links = rows.where("is_matched and _p <> _c").select(F.lit(0).alias("g"), F.col("_p").alias("a"), F.col("_c").alias("b"))
+    # Many small sets share a task: sets do not act on each other, so they may be passed over together.
+    tasks = max(1, rows.count() // ROWS_PER_TASK)
+    sets = least_labels(links, "g").select(F.col("node").alias("_own"), "label")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["prev_revision_id", "curr_revision_id", "_sig", "_far", *keys], na_position="last", ignore_index=True, kind="stable")
-        alive: dict[tuple, tuple[int, int, bool]] = {}
-        ids, absorbed, absorber, fresh = [], [False] * len(pdf), [False] * len(pdf), 0
-        clean = lambda r, s: tuple(None if pd.isna(v := getattr(r, f"{s}_{c}")) else v for c in SIGNATURE)
-        for i, r in enumerate(pdf.itertuples(index=False)):
-            before, after = clean(r, "prev"), clean(r, "curr")
-            known = None if r.is_added else alive.pop(before, None)
-            if known is None:
-                number, fresh = fresh, fresh + 1
-            else:
-                number = known[0]
+        pdf = pdf.sort_values(["prev_revision_id", "curr_revision_id", "_sig", "_far", *keys, "_row"], na_position="last", ignore_index=True, kind="stable")
+        alive: dict[str, tuple[str, int, bool]] = {}
+        ids, absorbed, absorber = [], [False] * len(pdf), [False] * len(pdf)
+        for i, r in enumerate(zip(pdf["_row"], pdf["_p"], pdf["_c"], pdf["is_matched"], pdf["is_deleted"], pdf["is_added"])):
+            number, before, after, matched, deleted, added = r
+            if (matched or deleted) and before in alive:
+                number = alive.pop(before)[0]
             ids.append(number)
-            if r.is_deleted:
-                continue
-            holder = alive.get(after)
-            if holder is None:
-                alive[after] = (number, i, not r.is_added and before == after)
-            else:
+            if matched and after in alive:
                 absorbed[i] = True
-                (absorber if holder[2] else absorbed)[holder[1]] = True
-        return pdf.drop(columns=["_sig", "_far"]).assign(method_id=ids, is_absorbed=absorbed, is_absorber=absorber)
+                _, holder, keeps = alive[after]
+                (absorber if keeps else absorbed)[holder] = True
+            elif matched:
+                alive[after] = number, i, before == after
+            elif added and not deleted:
+                alive[after] = number, i, True
+        return pdf[columns].assign(method_id=ids, is_absorbed=absorbed, is_absorber=absorber)
 
-    columns = ["prev_revision_id", "curr_revision_id", *keys, "is_sig_matched", "is_matched", "is_deleted", "is_added"]
     kinds = {f.name: f.dataType.simpleString() for f in matches.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", method_id long, is_absorbed boolean, is_absorber boolean"
-    return matches.select(*columns, (~F.col("is_sig_matched")).cast("int").alias("_sig"), (-F.coalesce("similarity", F.lit(-1.0))).alias("_far")).groupBy().applyInPandas(run, schema)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", method_id string, is_absorbed boolean, is_absorber boolean"
+    return rows.join(sets, "_own", "left").withColumn("_task", F.pmod(F.xxhash64(F.coalesce("label", "_own")), F.lit(tasks))).drop("label", "_own").groupBy("_task").applyInPandas(run, schema)
 
 
 def relabel_chains(tracking: DataFrame, block: str = "block_id", matched: str = "matched_block_id") -> DataFrame:

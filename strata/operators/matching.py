@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.sequences import gram_digests, lcs_similarity, minhash_bands, round_like_python
+from strata.functions.sequences import compare_sequences, gram_digests, minhash_band_rows
 from strata.schemas import SIDE, SIGNATURE
 from strata.session import stored
 
+#: A gram that more sequences than this have is looked at only where a source can't do without it.
+OFTEN = 1000
 
 def revision_steps(revisions: DataFrame, revision: str = "revision_id") -> DataFrame:
     """(revision_id, next_revision_id, after_next_revision_id) of the revisions in order; null past the last.
@@ -75,38 +77,71 @@ def sequence_steps(blocks: DataFrame) -> DataFrame:
     )
 
 
-def similarity_candidates(sequences: DataFrame, n: int = 5, overlap: float = 0.1, least_length: float = 0.0) -> DataFrame:
+def _meet(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
+    """The pairs of which, in some step, src is in the earlier revision and tgt in the later one."""
+    both = pairs.join(sequences.select(F.col("token_hash").alias("src"), "as_source"), "src").join(sequences.select(F.col("token_hash").alias("tgt"), "as_target"), "tgt")
+    return both.where(F.arrays_overlap("as_source", "as_target")).select(*pairs.columns)
+
+
+def similarity_candidates(sequences: DataFrame, n: int = 5, overlap: float = 0.1, least_length: float = 0.0, often: int = OFTEN) -> DataFrame:
     """(src, tgt, n_shared, n_grams): pairs of different sequences that meet in some step and share at least `overlap` of the source's n-grams.
 
     The inverted index is an equi-join of the exploded grams. It is over different sequences, not methods, so copies
-    cost nothing; a sequence is exploded once for all steps. Grams that occur once take part in no join. A gram that
-    very many sequences share is split by adaptive execution. `least_length` leaves out targets that are too short
+    cost nothing; a sequence is exploded once for all steps. Grams that occur once take part in no join, and postings
+    carry the time a sequence lives, so that most pairs that never meet end in the join.
+
+    A join on a gram is as large as the square of its frequency, so of the grams that more than `often` sequences have, each source
+    leaves out the most frequent ones, as long as fewer than it needs: a source that needs k shared grams may leave out k - 1,
+    as any target must share another. Pairs are kept if the shared grams found and those left out may reach k, and are
+    then counted by their whole sets. What still meets on a frequent gram is a source most of whose needed grams are frequent: pairs
+    that are candidates by definition. No pair is lost. `least_length` leaves out targets that are too short
     to reach a similarity (LCS <= length of the target): exact if it is the similarity's threshold.
     """
-    grams = sequences.where(F.size("seq") >= n).select("token_hash", F.size("seq").alias("len"), "as_source", "as_target", gram_digests("seq", n).alias("g"))
-    postings = stored(grams.select("token_hash", F.size("g").cast("long").alias("n_grams"), "len", F.explode("g").alias("gram")))
-    common = postings.groupBy("gram").agg(F.count("*").alias("_f")).where("_f > 1").select("gram")
-    useful = stored(postings.join(common, "gram", "left_semi"))
-    src = useful.select("gram", F.col("token_hash").alias("src"), "n_grams", F.col("len").alias("src_len"))
-    tgt = useful.select("gram", F.col("token_hash").alias("tgt"), F.col("len").alias("tgt_len"))
-    pairs = src.join(tgt, "gram").where((F.col("src") != F.col("tgt")) & (F.col("tgt_len") >= F.col("src_len") * least_length)).groupBy("src", "tgt").agg(F.count("*").alias("n_shared"), F.first("n_grams").alias("n_grams"))
-    kept = pairs.where(F.col("n_shared") >= F.col("n_grams") * overlap)
-    meet = kept.join(sequences.select(F.col("token_hash").alias("src"), "as_source"), "src").join(sequences.select(F.col("token_hash").alias("tgt"), "as_target"), "tgt")
-    return meet.where(F.arrays_overlap("as_source", "as_target")).select("src", "tgt", "n_shared", "n_grams")
-
-
-def lsh_candidates(sequences: DataFrame, n: int = 5, bands: int = 32, rows: int = 2) -> DataFrame:
+    long = stored(
+        sequences.where(F.size("seq") >= n).select(
+            "token_hash", F.size("seq").alias("len"), gram_digests("seq", n).alias("g"), F.array_min("as_source").alias("s0"), F.array_max("as_source").alias("s1"), F.array_min("as_target").alias("t0"), F.array_max("as_target").alias("t1")
+        )
+    )
+    postings = long.select("token_hash", F.size("g").cast("long").alias("n_grams"), "len", "s0", "s1", "t0", "t1", F.explode("g").alias("gram"))
+    common = postings.groupBy("gram").agg(F.count("*").alias("f")).where("f > 1")
+    useful = stored(postings.join(common, "gram"))
+    need = F.ceil(F.col("n_grams") * overlap - 1e-9)
+    src = useful.where("s0 is not null").select("gram", F.col("token_hash").alias("src"), "n_grams", F.col("len").alias("src_len"), "s0", "s1", F.lit(0).alias("n_out"))
+    frequent = useful.where((F.col("f") > often) & (need > 1))
+    some_out = not frequent.isEmpty()
+    if some_out:
+        # A window over one sequence's own grams.
+        place = F.row_number().over(Window.partitionBy("token_hash").orderBy(F.desc("f"), "gram"))
+        out = stored(frequent.withColumn("_k", place).where(F.col("_k") < need).select(F.col("token_hash").alias("src"), "gram"))
+        n_out = out.groupBy("src").agg(F.count("*").cast("int").alias("n_out"))
+        src = src.drop("n_out").join(out, ["src", "gram"], "left_anti").join(n_out, "src", "left").withColumn("n_out", F.coalesce("n_out", F.lit(0)))
+    tgt = useful.select("gram", F.col("token_hash").alias("tgt"), F.col("len").alias("tgt_len"), "t0", "t1")
+    meets = (F.col("src") != F.col("tgt")) & (F.col("tgt_len") >= F.col("src_len") * least_length) & (F.col("s0") <= F.col("t1")) & (F.col("s1") >= F.col("t0"))
+    pairs = src.join(tgt, "gram").where(meets).groupBy("src", "tgt").agg(F.count("*").alias("n_shared"), F.first("n_grams").alias("n_grams"), F.first("n_out").alias("n_out"))
+    enough = F.col("n_shared") >= F.col("n_grams") * overlap
+    if some_out:
+        pairs = stored(pairs.where((F.col("n_out") > 0) | enough))
+        sets = [long.select(F.col("token_hash").alias(x), F.col("g").alias(f"g_{x}")) for x in ("src", "tgt")]
+        counted = pairs.where("n_out > 0").drop("n_shared").join(sets[0], "src").join(sets[1], "tgt").withColumn("n_shared", F.size(F.array_intersect("g_src", "g_tgt")).cast("long"))
+        pairs = pairs.where("n_out = 0").unionByName(counted.select(*pairs.columns))
+    return _meet(pairs.where(enough).select("src", "tgt", "n_shared", "n_grams"), sequences)
+
+
+def lsh_candidates(sequences: DataFrame, n: int = 5, bands: int = 32, rows: int = 2, top_k: int | None = None) -> DataFrame:
     """(src, tgt): pairs that agree in a band of minhashes and meet in some step, both ways. Approximate: with 32 bands of 2, 0.95 of the
     pairs of Jaccard similarity 0.3 are expected and 0.73 of those of 0.2 (a short source in a long target has no more); with bands of 4
-    it would be 0.23 and 0.05. similarity_candidates is the exact form and the default."""
-    kept = sequences.where(F.size("seq") >= n).select("token_hash", "as_source", "as_target", minhash_bands(gram_digests("seq", n), bands, rows).alias("b"))
-    banded = stored(kept.select("token_hash", F.posexplode("b").alias("band", "value")))
-    pairs = banded.withColumnRenamed("token_hash", "src").join(banded.withColumnRenamed("token_hash", "tgt"), ["band", "value"]).where("src <> tgt").select("src", "tgt").distinct()
-    meet = pairs.join(kept.select(F.col("token_hash").alias("src"), "as_source"), "src").join(kept.select(F.col("token_hash").alias("tgt"), "as_target"), "tgt")
-    return meet.where(F.arrays_overlap("as_source", "as_target")).select("src", "tgt")
-
-
-def similar_sequences(blocks: DataFrame, n: int = 5, overlap: float = 0.1, similarity: float = 0.7, approximate: bool = False) -> DataFrame:
+    it would be 0.23 and 0.05. `top_k` keeps only the targets that agree with a source in the most bands, as the original analysis
+    offers; nothing is cut by default. similarity_candidates is the exact form and the default."""
+    sets = sequences.where(F.size("seq") >= n).select("token_hash", gram_digests("seq", n).alias("g"))
+    banded = stored(minhash_band_rows(sets, "token_hash", "g", bands, rows))
+    pairs = banded.withColumnRenamed("token_hash", "src").join(banded.withColumnRenamed("token_hash", "tgt"), ["band", "value"]).where("src <> tgt").groupBy("src", "tgt").agg(F.count("*").alias("_n"))
+    meet = _meet(pairs, sequences)
+    if top_k is not None:
+        meet = meet.withColumn("_k", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("_n"), "tgt"))).where(F.col("_k") <= top_k)
+    return meet.select("src", "tgt")
+
+
+def similar_sequences(blocks: DataFrame, n: int = 5, overlap: float = 0.1, similarity: float = 0.7, approximate: bool = False, top_k: int | None = None) -> DataFrame:
     """(src, tgt, raw_similarity, similarity): sequence pairs whose LCS covers at least `similarity` of the source.
 
     The threshold is on the unrounded ratio; `similarity` has two decimals. A sequence is similar to itself if it has n
@@ -114,12 +149,12 @@ def similar_sequences(blocks: DataFrame, n: int = 5, overlap: float = 0.1, simil
     from lsh_candidates instead, without the overlap filter.
     """
     sequences = stored(sequence_steps(blocks))
-    pairs = stored(lsh_candidates(sequences, n) if approximate else similarity_candidates(sequences, n, overlap, similarity))
+    pairs = stored(lsh_candidates(sequences, n, top_k=top_k) if approximate else similarity_candidates(sequences, n, overlap, similarity))
     seqs = sequences.select("token_hash", "seq")
-    compared = pairs.join(seqs.select(F.col("token_hash").alias("src"), F.col("seq").alias("s")), "src").join(seqs.select(F.col("token_hash").alias("tgt"), F.col("seq").alias("t")), "tgt")
-    measured = compared.select("src", "tgt", lcs_similarity("s", "t").alias("raw_similarity")).where(F.col("raw_similarity") >= similarity)
-    itself = sequences.where((F.size("seq") >= n) & F.arrays_overlap("as_source", "as_target")).select(F.col("token_hash").alias("src"), F.col("token_hash").alias("tgt"), F.lit(1.0).alias("raw_similarity"))
-    return measured.select("*", round_like_python("raw_similarity", F.lit(2)).alias("similarity")).unionByName(itself.withColumn("similarity", F.lit(1.0)))
+    both = pairs.select("src", "tgt").join(seqs.select(F.col("token_hash").alias("src"), F.col("seq").alias("s")), "src").join(seqs.select(F.col("token_hash").alias("tgt"), F.col("seq").alias("t")), "tgt")
+    measured = compare_sequences(both, ["src", "tgt"], "s", "t", similarity)
+    itself = sequences.where((F.size("seq") >= n) & F.arrays_overlap("as_source", "as_target")).select(F.col("token_hash").alias("src"), F.col("token_hash").alias("tgt"), F.lit(1.0).alias("raw_similarity"), F.lit(1.0).alias("similarity"))
+    return measured.unionByName(itself)
 
 
 def similarity_match(blocks: DataFrame, similar: DataFrame) -> DataFrame:

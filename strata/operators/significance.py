@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def wilcoxon_p(plus: float, minus: float, n: int, ties: list[int]) -> float:
-    """Two-sided p of a signed-rank test: exact without ties up to 50 pairs, else the normal approximation corrected for ties."""
+def wilcoxon_p(plus: float, minus: float, n: int, ties: list[int], zeros: int = 0) -> float:
+    """Two-sided p of a signed-rank test of `n` differences other than 0: exact without ties and without differences of 0 up to 50
+    pairs, else the normal approximation corrected for ties."""
     if n == 0:
         return 1.0
     least = min(plus, minus)
-    if n <= 50 and all(t == 1 for t in ties):
+    if n <= 50 and not zeros and all(t == 1 for t in ties):
         ways = [1] + [0] * (n * (n + 1) // 2)
         for rank in range(1, n + 1):
             for s in range(len(ways) - 1, rank - 1, -1):
@@ -46,13 +47,13 @@ def signed_rank_sums(pairs: DataFrame) -> DataFrame:
 
 
 @F.udf(T.DoubleType())
-def _p(plus, minus, n, ties):
-    return wilcoxon_p(plus, minus, n, list(ties or []))
+def _p(plus, minus, n, ties, zeros):
+    return wilcoxon_p(plus, minus, n, list(ties or []), zeros)
 
 
 def wilcoxon(pairs: DataFrame) -> DataFrame:
     """signed_rank_sums with the two-sided `p_value`; one row per metric."""
-    return signed_rank_sums(pairs).withColumn("p_value", _p("w_plus", "w_minus", F.col("n_used").cast("int"), "ties")).drop("ties")
+    return signed_rank_sums(pairs).withColumn("p_value", _p("w_plus", "w_minus", F.col("n_used").cast("int"), "ties", (F.col("n_pairs") - F.col("n_used")).cast("int"))).drop("ties")
 
 
 def paired_metrics(rates: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from strata.functions.code import strip
 from strata.functions.text import stamp
 from strata.operators import audits, clones, lineage, matching, patterns, rates, rules, significance, survival
+from strata.plans import matching_sql, reference_sql
 from strata.plans.core import p1_rows
 from strata.plans.inputs import blocks, pairs, table, tracked
-from strata.plans.reference_sql import ORACLES as ORACLES
 from strata.session import stored
 from strata.sources import reports
 
+ORACLES: dict[str, str] = reference_sql.ORACLES | matching_sql.ORACLES
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 

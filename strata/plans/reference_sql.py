@@ -292,10 +292,7 @@ SELECT pattern, deleted, survived, deleted / CAST(deleted + survived AS DOUBLE)
     "basic_statistics": _SAMPLES + " SELECT is_deleted, count(*) AS n, avg(CASE WHEN loc > 0 THEN loc END) AS mean_loc, avg(clone_group_size) AS mean_group_size, count(*) / CAST((SELECT count(*) FROM samples) AS DOUBLE) AS share FROM samples GROUP BY is_deleted",
     "match_types": _SAMPLES + " SELECT is_deleted, CASE WHEN clone_group_size > 1 THEN 'many' WHEN clone_group_size = 1 THEN 'one' ELSE 'none' END AS match_type, count(*) AS n FROM samples GROUP BY ALL",
     "stratified_sample": _SAMPLES + " SELECT snippet_id, is_deleted FROM (SELECT *, row_number() OVER (PARTITION BY is_deleted ORDER BY snippet_id) AS k FROM samples) WHERE k <= 50",
-    "report_overview": r"""SELECT doc_id, coalesce(try_cast(nullif(regexp_extract(text, '\|\s*Members\s*\|\s*([0-9]+)', 1), '') AS BIGINT), 0) AS members, coalesce(nullif(regexp_extract(text, '\|\s*Match Type\s*\|\s*`([^`]+)`', 1), ''), 'unknown') AS match_type,
-  coalesce(try_cast(nullif(regexp_extract(text, '\|\s*Avg Similarity\s*\|\s*([0-9.]+)%', 1), '') AS DOUBLE), 0.0) AS avg_similarity FROM documents WHERE lower(trim(source)) = 'clone_report' AND text IS NOT NULL""",
 }
 ORACLES["state_counts"] = f"SELECT prev_revision_id, state, count(*) AS n FROM ({ORACLES['method_states']}) GROUP BY ALL"
 ORACLES["method_overview"] = f"""WITH {ENRICHED_SQL}, t AS (SELECT * FROM enriched WHERE prev_revision_id IS NOT NULL), l AS (SELECT count(DISTINCT prev_revision_id) AS n FROM t GROUP BY method_id)
 SELECT count(*) AS n_rows, count(DISTINCT method_id) AS n_methods, avg(CAST(has_clone AS INTEGER)) AS clone_rate, (SELECT avg(n) FROM l) AS mean_lifetime, (SELECT max(n) FROM l) AS longest_lifetime FROM t"""
-ORACLES["report_match_types"] = f"SELECT match_type, count(*) AS n FROM ({ORACLES['report_overview']}) GROUP BY match_type"

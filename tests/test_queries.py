@@ -21,7 +21,7 @@ def test_equals_sql(spark, con, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["p7_drift", "method_ids", "method_ids_in_order", "group_tracking", "wilcoxon_by_clone", "report_methods", "rules_by_lines"])
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     df = QUERIES[name](spark, SMALL)
     assert df.count() > 0

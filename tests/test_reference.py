@@ -34,14 +34,26 @@ def textbook_lcs(a, b):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 4), max_size=30), st.lists(st.integers(0, 4), max_size=30))
-def test_lcs(a, b):
+@given(st.lists(st.tuples(st.lists(st.integers(0, 4), max_size=90), st.lists(st.integers(0, 4), max_size=90)), min_size=1, max_size=5))
+def test_lcs(pairs):
     import numpy as np
 
-    n = textbook_lcs(a, b)
-    assert sequences.lcs_length(a, b) == n <= min(len(a), len(b))
-    assert sequences.banded_lcs_length(a, b, 30) == n >= sequences.banded_lcs_length(a, b, 2)
-    assert sequences.lcs_ratio(np.array(a, int), np.array(b, int)) == (n / len(a) if a else 0.0)
+    want = [textbook_lcs(a, b) for a, b in pairs]
+    assert [sequences.lcs_length(a, b) for a, b in pairs] == want
+    flat = [np.array([x for p in pairs for x in p[i]], np.int64) for i in (0, 1)]
+    sizes = [np.array([len(p[i]) for p in pairs], np.int64) for i in (0, 1)]
+    assert sequences.lcs_lengths(flat[0], sizes[0], flat[1], sizes[1]).tolist() == want
+
+
+def test_lcs_of_long_sequences():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    for n, m in ((600, 40), (40, 600), (3000, 2500), (64, 64), (65, 128)):
+        a, b = rnd.integers(0, 9, n), rnd.integers(0, 9, m)
+        want = sequences.lcs_length(a.tolist(), b.tolist())
+        assert want == textbook_lcs(a.tolist(), b.tolist())
+        assert sequences.lcs_lengths(a, np.array([n]), b, np.array([m])).tolist() == [want]
 
 
 def test_sequences(spark):
@@ -49,8 +61,21 @@ def test_sequences(spark):
     rows = df.select("s", sequences.gram_digests("s", 3).alias("g"), sequences.lcs_native(F.col("s"), F.array(F.lit(3), F.lit(1))).alias("n")).collect()
     assert [r["s"] for r in rows] == [[1, 2, 3, 1, 2, 3, 1], [], None, None, [4], [1, None]]
     assert [len(r["g"]) for r in rows] == [3, 0, 0, 0, 0, 0] and rows[0]["n"] == 2
-    got = df.limit(1).select(sequences.lcs_similarity("s", F.array(F.lit(1), F.lit(3), F.lit(1))).alias("x"), sequences.round_like_python(F.lit(0.725), F.lit(2)).alias("y")).first()
-    assert got["x"] == pytest.approx(3 / 7) and got["y"] == round(0.725, 2)
+    pairs = spark.createDataFrame([(1, [1, 2, 3], [1, 3, 1]), (2, None, [1]), (3, [], [1]), (4, [None, 7], [7, None]), (5, [5], None), (6, list(range(40)), list(range(29)))], "k int, a array<int>, b array<int>")
+    got = {r["k"]: (r["raw_similarity"], r["similarity"]) for r in sequences.compare_sequences(pairs, ["k"], "a", "b", 0.0).collect()}
+    assert got == {1: (2 / 3, 0.67), 4: (0.5, 0.5), 5: (0.0, 0.0), 6: (0.725, round(0.725, 2))}
+    assert sequences.compare_sequences(pairs.limit(0), ["k"], "a", "b", 0.0).count() == 0
+
+
+def test_frequent_grams_lose_no_candidate(spark):
+    """Every sequence shares a stretch, so its grams are frequent; the rows are those of plain counting, whatever counts as frequent."""
+    rnd = random.Random(5)
+    common = [900 + i for i in range(9)]
+    rows = [block(r, f"m{i}", [rnd.randrange(6) for _ in range(rnd.randrange(20, 60))] + common * (i % 3 > 0), f"h{i}") for i in range(40) for r in (0, 1)]
+    seqs = stored(matching.sequence_steps(spark.createDataFrame(rows, B)))
+    plain, pruned = ({tuple(r) for r in matching.similarity_candidates(seqs, often=k).collect()} for k in (10**6, 2))
+    assert plain == pruned and len(plain) > 100
+    assert matching.similarity_candidates(seqs.limit(0)).count() == 0
 
 
 B = "revision_id timestamp_ntz, file_path string, method_name string, return_type string, parameters string, block_id long, start_line long, end_line long, token_hash string, token_sequence array<int>"
@@ -204,8 +229,10 @@ def test_wilcoxon(spark):
     assert significance.wilcoxon_p(0, 0, 0, []) == 1.0
     assert significance.wilcoxon_p(27, 18, 9, [1] * 9) == pytest.approx(0.65234375)
     assert 0 < significance.wilcoxon_p(30, 6, 8, [2, 2, 4]) < 0.2
-    rows = [("m", float(i + 1), 0.0) for i in range(5)] + [("m", 1.0, 1.0), ("m", None, 1.0), ("n", 1.0, 2.0), ("n", 2.0, 1.0), ("z", 1.0, 1.0)]
+    rows = [("m", float(i + 1), 0.0) for i in range(5)] + [("m", None, 1.0), ("n", 1.0, 2.0), ("n", 2.0, 1.0), ("z", 1.0, 1.0)] + [("with_zero", float(i), 0.0) for i in range(6)]
     got = {r["metric"]: r for r in significance.wilcoxon(spark.createDataFrame(rows, "metric string, first double, second double")).collect()}
+    # A difference of 0 is left out and rules out the exact form: z = (0 - 7.5) / sqrt(13.75).
+    assert got["with_zero"]["n_used"] == 5 and got["with_zero"]["p_value"] == pytest.approx(0.0431144467)
     assert got["m"]["n_used"] == 5 and got["m"]["rank_biserial"] == 1.0 and got["m"]["p_value"] == pytest.approx(0.0625)
     assert got["n"]["w_plus"] == got["n"]["w_minus"] == 1.5 and got["z"]["rank_biserial"] is None and got["z"]["p_value"] == 1.0
 
