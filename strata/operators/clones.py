@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators.matching import null_safe
@@ -43,6 +43,23 @@ def with_has_clone(tracked: DataFrame, pairs: DataFrame) -> DataFrame:
     return tracked.join(m, (F.col("prev_revision_id") == F.col("_r")) & (F.col("prev_token_hash") == F.col("_h")), "left").withColumn("has_clone", F.col("_h").isNotNull()).drop("_r", "_h")
 
 
+def pair_summary(pairs: DataFrame) -> DataFrame:
+    """(revision_id, token_hash, median_similarity) of every hash in a pair: median_similarity and pair_members in one pass over the pairs.
+
+    A hash whose scores are all null or NaN has a null median.
+    """
+    score = F.when(~F.isnan(pair_similarity()), pair_similarity())
+    ends = F.explode(F.array(*[F.struct(F.col(f"token_hash_{i}").alias("token_hash"), F.when(F.lit(i) == 1, score).alias("one"), F.when(F.lit(i) == 2, score).alias("two")) for i in (1, 2)]))
+    sides = pairs.select("revision_id", ends.alias("e")).select("revision_id", "e.*").where("token_hash is not null").groupBy("revision_id", "token_hash").agg(F.expr("percentile(one, 0.5)").alias("a"), F.expr("percentile(two, 0.5)").alias("b"))
+    return sides.select("revision_id", "token_hash", F.bround(F.coalesce((F.col("a") + F.col("b")) / 2, "a", "b"), 1).alias("median_similarity"))
+
+
+def with_pairs(tracked: DataFrame, summary: DataFrame) -> DataFrame:
+    """Adds median_similarity and has_clone from pair_summary, in one join."""
+    m = summary.select(F.col("revision_id").alias("_r"), F.col("token_hash").alias("_h"), "median_similarity")
+    return tracked.join(m, (F.col("prev_revision_id") == F.col("_r")) & (F.col("prev_token_hash") == F.col("_h")), "left").withColumn("has_clone", F.col("_h").isNotNull()).drop("_r", "_h")
+
+
 def least_labels(edges: DataFrame, by: str) -> DataFrame:
     """(by, node, label) of every node of `edges` (by, a, b): the least node it is connected with in its graph; all graphs at once.
 
@@ -67,21 +84,55 @@ def least_labels(edges: DataFrame, by: str) -> DataFrame:
             return at.df.select(F.col("g").alias(by), "node", "label")
 
 
+def label_steps(edges: DataFrame) -> DataFrame:
+    """(node, since, label) of edges (a, b, first): the least node that each node is connected with by edges of any time up to `since`.
+
+    A node's label only falls as time goes on, so it is kept as the steps at which it does rather than once for every time.
+    In each round a node takes over the steps of its neighbours (from the time of the edge) and of its labels (pointer jumping), and
+    a label those of the nodes that had it, until nothing changes. Before steps are put in order they are reduced to the least label per node and time, before the
+    shuffle, so a hub's window holds no more rows than there are times. Every round is a written table.
+    """
+    ends = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
+    both = stored(edges.select("first", ends.alias("e")).groupBy("e.x", "e.y").agg(F.min("first").alias("t")))
+
+    def reduced(candidates: DataFrame) -> Stored:
+        """Of (node, since, label, fresh) the steps at which the label falls; `fresh` ones were not there before, and `old` was the label then."""
+        least = candidates.groupBy("node", "since").agg(F.min(F.struct("label", "fresh")).alias("m"), F.min(F.when(~F.col("fresh"), F.col("label"))).alias("o")).select("node", "since", "m.*", "o")
+        upto = Window.partitionBy("node").orderBy("since")
+        before = F.min("label").over(upto.rowsBetween(Window.unboundedPreceding, -1))
+        return Stored(least.withColumns({"_b": before, "old": F.min("o").over(upto)}).where("_b is null or label < _b").drop("_b", "o"))
+
+    at = reduced(both.select(F.col("x").alias("node"), F.col("t").alias("since"), F.least("x", "y").alias("label"), F.lit(True).alias("fresh")))
+    while True:
+        here = at.df.select("node", "since", "label")
+        around = both.join(here.withColumnRenamed("node", "y"), "y").select(F.col("x").alias("node"), F.greatest("t", "since").alias("since"), "label", F.lit(True).alias("fresh"))
+        further = here.select(F.col("node").alias("label"), F.col("since").alias("s"), F.col("label").alias("l")).where("label <> l")
+        jumped = here.join(further, "label").select("node", F.greatest("since", "s").alias("since"), F.col("l").alias("label"), F.lit(True).alias("fresh"))
+        pulled = at.df.where("fresh and old is not null").select(F.col("old").alias("node"), "since", "label", "fresh")
+        new = reduced(here.withColumn("fresh", F.lit(False)).unionByName(around).unionByName(jumped).unionByName(pulled))
+        done = new.df.where("fresh").isEmpty()
+        at.drop()
+        at = new
+        if done:
+            return at.df.select("node", "since", "label")
+
+
 def cumulative_groups(pairs: DataFrame, per_revision: bool = False) -> DataFrame:
     """(revision_id, token_hash, group_id): in every revision, each hash seen so far and the least hash it is connected with by
     the pairs of that revision or any before. `per_revision` looks at each revision's own pairs alone.
 
-    All revisions' graphs are connected at once. A pair belongs to the graphs of its first revision and of all later ones, so
-    the edges are at most as many as different pairs times revisions.
+    Each different pair is looked at once, with its first revision (label_steps); only the result has a row for each hash and revision.
     """
-    links = pairs.where("token_hash_1 is not null and token_hash_2 is not null and revision_id is not null").select("revision_id", F.least("token_hash_1", "token_hash_2").alias("a"), F.greatest("token_hash_1", "token_hash_2").alias("b")).distinct()
-    if not per_revision:
-        kind = pairs.schema["revision_id"].dataType
-        # One row per revision; as texts, free of time zones.
-        revisions = [r[0] for r in links.select(F.col("revision_id").cast("string")).distinct().collect()]
-        later = F.filter(F.array(*[F.lit(r).cast(kind) for r in revisions]).cast(f"array<{kind.simpleString()}>"), lambda r: r >= F.col("first"))
-        links = links.groupBy("a", "b").agg(F.min("revision_id").alias("first")).select(F.explode(later).alias("revision_id"), "a", "b")
-    return least_labels(links, "revision_id").select("revision_id", F.col("node").alias("token_hash"), F.col("label").alias("group_id"))
+    links = pairs.where("token_hash_1 is not null and token_hash_2 is not null and revision_id is not null").select("revision_id", F.least("token_hash_1", "token_hash_2").alias("a"), F.greatest("token_hash_1", "token_hash_2").alias("b"))
+    if per_revision:
+        return least_labels(links.distinct(), "revision_id").select("revision_id", F.col("node").alias("token_hash"), F.col("label").alias("group_id"))
+    links = stored(links.groupBy("a", "b").agg(F.min("revision_id").alias("first"), F.collect_set("revision_id").alias("all")))
+    kind = pairs.schema["revision_id"].dataType
+    # One row per revision; as texts, free of time zones.
+    revisions = [r[0] for r in links.select(F.explode("all").alias("r")).distinct().select(F.col("r").cast("string")).collect()]
+    steps = label_steps(links.select("a", "b", "first")).withColumn("until", F.lead("since").over(Window.partitionBy("node").orderBy("since")))
+    times = F.filter(F.array(*[F.lit(r).cast(kind) for r in revisions]).cast(f"array<{kind.simpleString()}>"), lambda r: (r >= F.col("since")) & (F.col("until").isNull() | (r < F.col("until"))))
+    return steps.select(F.explode(times).alias("revision_id"), F.col("node").alias("token_hash"), F.col("label").alias("group_id"))
 
 
 def with_groups(tracked: DataFrame, groups: DataFrame) -> DataFrame:

@@ -166,9 +166,7 @@ def global_blocks(spark, d):
 
 
 def enriched(spark, d):
-    p = pairs(spark, d)
-    t = clones.with_median_similarity(tracked(spark, d), clones.median_similarity(p))
-    return clones.with_has_clone(t, p)
+    return clones.with_pairs(tracked(spark, d), clones.pair_summary(pairs(spark, d)))
 
 
 @query
