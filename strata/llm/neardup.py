@@ -19,15 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.llm.bpe import small
 from strata.llm.components import connected_components
 from strata.llm.spans import _flat, scramble
-from strata.session import stored
+from strata.session import Stored, stored
 
-#: 64-bit words of a record's bitmap, and of the bitmap of the grams it was entered for.
-WORDS, OWN_WORDS = 8, 4
+#: 64-bit words of a record's bitmap, and of the bitmap of the grams that records were entered for.
+WORDS, OWN_WORDS = 8, 16
 #: Children of a node.
 FAN_OUT = 8
 #: Grams counted by the finder of frequent grams go to so many counters; a counter is frequent from 1/HOT_SHARE of all grams.
@@ -88,10 +89,10 @@ def bitmaps(grams: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
 
 
 def set_classes(df: DataFrame, key: str, source: str, is_code: bool, width: int) -> DataFrame:
-    """(id, cls, n, grams): each record's set, its size and a digest of it. Records without a gram are left out."""
+    """(id, d1, d2, n, grams): each record's set, its size and 128 bits of digest. Records without a gram are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in small(whole)):
             if is_code:
                 lists = [code_tokens(t) if t else [] for t in b.column(1).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
@@ -101,12 +102,11 @@ def set_classes(df: DataFrame, key: str, source: str, is_code: bool, width: int)
             grams, at = gram_sets(tokens, offsets, width)
             n = np.diff(at)
             some = np.flatnonzero(n)
-            sums = np.add.reduceat(scramble(grams.view(np.int64), 23), at[some]) if len(some) else np.zeros(0, np.uint64)
-            cls = scramble((sums + n[some].astype(np.uint64)).view(np.int64), 25 if is_code else 24).view(np.int64)
+            d1, d2 = (np.add.reduceat(scramble(grams.view(np.int64), seed), at[some]) if len(some) else np.zeros(0, np.uint64) for seed in (23, 24))
             lists_ = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[some])]), pa.int32()), pa.array(grams.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(cls), pa.array(n[some], pa.int32()), lists_], names=["id", "cls", "n", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(n[some], pa.int32()), lists_], names=["id", "d1", "d2", "n", "grams"])
 
-    return df.select(F.col(key).cast("string").alias("id"), source).mapInArrow(run, "id string, cls long, n int, grams array<long>")
+    return df.select(F.col(key).cast("string").alias("id"), source).mapInArrow(run, "id string, d1 long, d2 long, n int, grams array<long>")
 
 
 def _prefix(n: np.ndarray, t: float) -> np.ndarray:
@@ -147,7 +147,8 @@ def _cut(order: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]
 
 
 def rare_first_entries(sets: DataFrame, threshold: float) -> tuple[DataFrame, int]:
-    """(bucket, cls, n, sig, own): each record entered in the buckets of those of its first grams that other records have as well.
+    """(bucket, cls, n, sig, grams, rest): each record entered in the buckets of those of its first grams that other records have as
+    well, with these grams and, for each, how many of the record's grams come from there on.
 
     Grams are counted exactly: packed arrays of (gram, record) go to the gram's task, and those that more than one
     record has return, with their frequency, to the record's task, where the first of them are chosen. Grams that only one
@@ -210,9 +211,8 @@ def rare_first_entries(sets: DataFrame, threshold: float) -> tuple[DataFrame, in
             yield pa.RecordBatch.from_arrays([pa.array((cls.view(np.uint64) % _U(tasks)).astype(np.int32)), pa.array(cls), pa.array(n, pa.int32()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["part", "cls", "n", "sig"])
 
     def enter(pdf: pd.DataFrame, sketches: pd.DataFrame) -> pd.DataFrame:
-        columns = ["bucket", "cls", "n", "sig", "own"]
         if pdf.empty:
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame({c: [] for c in ("bucket", "cls", "n", "sig", "grams", "rest")})
         size = _joined(pdf, "size", np.int32)
         cls, spare = np.repeat(_joined(pdf, "cls", np.int64), size), np.repeat(_joined(pdf, "spare", np.int32), size)
         grams, freq = _joined(pdf, "grams", np.uint32), _joined(pdf, "freq", np.uint16)
@@ -222,7 +222,9 @@ def rare_first_entries(sets: DataFrame, threshold: float) -> tuple[DataFrame, in
         have = np.diff(np.concatenate([new, [len(cls)]]))
         rank = np.arange(len(cls)) - np.repeat(new, have)
         use = rank < np.repeat(have, have) + spare
-        return _entries(cls[use], grams[use], (grams[use] % np.uint32(buckets)).astype(np.int64), sketches)
+        # Grams that no other record has come first and frequent ones last: with `spare` more than all that aren't frequent, the prefix ends.
+        before = rank[use] - np.repeat(have, have)[use] - spare[use]
+        return _entries(cls[use], grams[use], (grams[use] % np.uint32(buckets)).astype(np.int64), before, sketches, threshold)
 
     def enter_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -242,54 +244,64 @@ def rare_first_entries(sets: DataFrame, threshold: float) -> tuple[DataFrame, in
             sketches = pd.DataFrame({"cls": cls[some], "n": n[some], "sig": [x.tobytes() for x in sig]})
             short = (grams[use] >> _U(32)).astype(np.uint32)
             # Each frequent gram has a bucket of its own.
-            yield pa.RecordBatch.from_pandas(_entries(cls[owner[use]], short, -1 - short.astype(np.int64), sketches), schema=entered)
+            before = (rank - spare[own])[rank < spare[own]]
+            yield pa.RecordBatch.from_pandas(_entries(cls[owner[use]], short, -1 - short.astype(np.int64), before, sketches, threshold), schema=entered)
 
-    entered = pa.schema([("bucket", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("own", pa.binary())])
+    entered = pa.schema([("bucket", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("grams", pa.binary()), ("rest", pa.binary())])
     packed = "part int, cls binary, spare binary, size binary, grams binary"
     there = sets.select("cls", "n", "grams").mapInArrow(send, packed).groupBy("part").applyInPandas(count, packed + ", freq binary")
     sketches = sets.select("cls", "n", "grams").mapInArrow(sketch, "part int, cls long, n int, sig binary")
-    out = "bucket long, cls long, n int, sig binary, own binary"
+    out = "bucket long, cls long, n int, sig binary, grams binary, rest binary"
     common = there.groupBy("part").cogroup(sketches.groupBy("part")).applyInPandas(enter, out)
     if not len(hot):
         return common, buckets
     return common.unionByName(sets.select("cls", "n", "grams").mapInArrow(enter_hot, out)), buckets
 
 
-def _entries(cls: np.ndarray, grams: np.ndarray, bucket: np.ndarray, sketches: pd.DataFrame) -> pd.DataFrame:
-    """One row per (bucket, record), with the bitmap of the grams that brought it there."""
+def _entries(cls: np.ndarray, grams: np.ndarray, bucket: np.ndarray, before: np.ndarray, sketches: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """One row per (bucket, record) with its grams there; `before` is a gram's place counted from the end of the prefix (below 0)."""
     order = np.lexsort((bucket, cls))
-    cls, grams, bucket = cls[order], grams[order], bucket[order]
+    cls, grams, bucket, before = cls[order], grams[order], bucket[order], before[order]
     new = np.flatnonzero(np.concatenate([[True], (np.diff(cls) != 0) | (np.diff(bucket) != 0)])) if len(cls) else np.zeros(0, np.int64)
-    own = bitmaps(scramble(grams.astype(np.int64), 27), np.concatenate([new, [len(cls)]]), OWN_WORDS)
+    past = np.concatenate([new[1:], [len(cls)]]).astype(np.int64)
     by = sketches.set_index("cls")
     at = by.index.get_indexer(cls[new])
-    return pd.DataFrame({"bucket": bucket[new], "cls": cls[new], "n": by["n"].to_numpy()[at].astype(np.int32), "sig": by["sig"].to_numpy()[at], "own": [x.tobytes() for x in own]})
+    n = by["n"].to_numpy()[at].astype(np.int64)
+    rest = (np.repeat(n - _prefix(n, threshold), past - new) - before).astype(np.int32)
+    pieces = lambda x: [x[i:j].tobytes() for i, j in zip(new, past)]
+    return pd.DataFrame({"bucket": bucket[new], "cls": cls[new], "n": n.astype(np.int32), "sig": by["sig"].to_numpy()[at], "grams": pieces(grams), "rest": pieces(rest)})
 
 
 class SignatureTree:
-    """Levels of nodes, the entries first: bitmaps of all grams and of the grams entered for, least and greatest size, and the
-    most grams of an entry that share a bit with another of its own."""
-
-    def __init__(self, sig: np.ndarray, own: np.ndarray, n: np.ndarray):
-        self.levels = [(sig, own, n, n, n - np.bitwise_count(sig).sum(1).astype(np.int64))]
+    """Levels of nodes, the entries first, one for each record and gram: bitmaps of all grams and of those entered for, least and
+    greatest size, the most grams of an entry that share a bit with another of its own, and the most that come from its gram on."""
+
+    def __init__(self, sig: np.ndarray, gram: np.ndarray, n: np.ndarray, rest: np.ndarray, record: np.ndarray):
+        self.gram, self.record = gram, record
+        bit = scramble(gram.astype(np.int64), 27) % _U(OWN_WORDS * 64)
+        own = np.zeros((len(n), OWN_WORDS), np.uint64)
+        own[np.arange(len(n)), (bit >> _U(6)).astype(np.int64)] = _U(1) << (bit & _U(63))
+        self.levels = [(sig, own, n, n, n - np.bitwise_count(sig).sum(1).astype(np.int64), rest)]
         while len(self.levels[-1][2]) > 1:
-            s, o, low, high, folded = self.levels[-1]
+            s, o, low, high, folded, most = self.levels[-1]
             starts = np.arange(0, len(low), FAN_OUT)
-            self.levels.append((_segment_or(s, starts), _segment_or(o, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(folded, starts)))
+            self.levels.append((_segment_or(s, starts), _segment_or(o, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(folded, starts), np.maximum.reduceat(most, starts)))
 
     def possible(self, level: int, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
-        """Whether some entries below nodes a and b may have similarity t."""
-        sig, own, low, high, folded = self.levels[level]
-        ok = (high[a] >= t * low[b] - 1e-9) & (high[b] >= t * low[a] - 1e-9) & (own[a] & own[b]).any(1)
-        at = np.flatnonzero(ok)
+        """The places of the pairs below whose nodes some entries may have similarity t and their gram as the first in common."""
+        sig, own, low, high, folded, rest = self.levels[level]
+        if level:
+            at = np.flatnonzero((own[a] & own[b]).any(1))
+        else:
+            at = np.flatnonzero((self.gram[a] == self.gram[b]) & (self.record[a] != self.record[b]))
         a, b = a[at], b[at]
-        most = np.bitwise_count(sig[a] & sig[b]).sum(1).astype(np.int64) + np.minimum(folded[a], folded[b])
-        least = np.maximum(t / (1 + t) * (low[a] + low[b]), t * np.maximum(low[a], low[b]))
-        ok[at] = most >= least - 1e-9
-        return ok
+        least = np.maximum(t / (1 + t) * (low[a] + low[b]), t * np.maximum(low[a], low[b])) - 1e-9
+        ok = (high[a] >= t * low[b] - 1e-9) & (high[b] >= t * low[a] - 1e-9) & (np.minimum(rest[a], rest[b]) >= least)
+        at, a, b, least = at[ok], a[ok], b[ok], least[ok]
+        return at[np.bitwise_count(sig[a] & sig[b]).sum(1).astype(np.int64) + np.minimum(folded[a], folded[b]) >= least]
 
     def pairs(self, t: float, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of different entries that may have similarity t, by traversal of the tree against itself."""
+        """Pairs of entries of different records that may have similarity t, by traversal of the tree against itself."""
         top = len(self.levels) - 1
         todo = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))] if len(self.levels[0][2]) else []
         step = np.arange(FAN_OUT)
@@ -298,7 +310,7 @@ class SignatureTree:
             if len(a) > block:
                 todo += [(level, a[block:], b[block:])]
                 a, b = a[:block], b[:block]
-            ok = self.possible(level, a, b, t) if level else (a != b) & self.possible(level, a, b, t)
+            ok = self.possible(level, a, b, t)
             a, b = a[ok], b[ok]
             if not len(a):
                 continue
@@ -312,31 +324,46 @@ class SignatureTree:
             todo.append((level - 1, x[keep], y[keep]))
 
 
+def size_blocks(entries: DataFrame, threshold: float) -> DataFrame:
+    """(_b, _n, first, last, low, high) for each size in a bucket that has more entries than a tree: its entries are dealt into the blocks
+    from `first` to `last`, and may be similar to those in blocks from `low` to `high`. Blocks are in the order of sizes."""
+    counts = entries.groupBy("bucket", "n").agg(F.count("*").alias("c"))
+    large = counts.groupBy(F.col("bucket").alias("_b")).agg(F.sum("c").alias("all")).where(F.col("all") > ENTRIES_PER_TREE)
+    sizes = counts.join(large, F.col("bucket") == F.col("_b"))
+    by_size = Window.partitionBy("_b").orderBy("n")
+    upto = F.sum("c").over(by_size)
+    dealt = sizes.select("_b", F.col("n").alias("_n"), F.floor((upto - F.col("c")) / ENTRIES_PER_TREE).cast("int").alias("first"), F.floor((upto - 1) / ENTRIES_PER_TREE).cast("int").alias("last"))
+    # Sizes within the ratio are within a range of logarithms; in whole millionths, with something to spare.
+    reach = math.ceil(-math.log(threshold) * 1e6) + 3
+    near = Window.partitionBy("_b").orderBy("_log").rangeBetween(-reach, reach)
+    return dealt.withColumn("_log", F.floor(F.log("_n") * 1e6)).select("_b", "_n", "first", "last", F.min("first").over(near).alias("low"), F.max("last").over(near).alias("high"))
+
+
 def candidate_pairs(entries: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: pairs of records in one bucket that the signature trees do not rule out, unique.
 
-    A bucket with more entries than a tree should have is dealt into blocks by hash, and each two blocks share a
-    task, so that no task holds an unbounded group and no pair is lost.
+    A bucket with more entries than a tree should have is dealt into blocks in the order of sizes, one size into several if
+    need be, and each two blocks whose sizes allow the similarity share a task: no task holds an unbounded group, no pair
+    is lost, and an entry is sent only to blocks it may have a partner in.
     """
     entries = stored(entries)
-    # Buckets above the size: at most entries / ENTRIES_PER_TREE rows.
-    large = stored(entries.groupBy("bucket").agg(F.ceil(F.count("*") / ENTRIES_PER_TREE).cast("int").alias("k")).where("k > 1").select(F.col("bucket").alias("_b"), "k"))
-    k = F.coalesce("k", F.lit(1))
-    mine = F.pmod(F.xxhash64(F.lit(31), "cls"), k).cast("int")
-    dealt = entries.join(large, F.col("bucket") == F.col("_b"), "left").withColumn("_i", mine).withColumn("_j", F.explode(F.sequence(F.lit(0), k - 1)))
-    dealt = dealt.select("bucket", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), "cls", "n", "sig", "own")
+    large = stored(size_blocks(entries, threshold))
+    mine = (F.col("first") + F.pmod(F.xxhash64(F.lit(31), "cls"), F.col("last") - F.col("first") + 1)).cast("int")
+    others = F.explode(F.when(F.col("first").isNull(), F.array(F.lit(0))).otherwise(F.sequence("low", "high")))
+    dealt = entries.join(large, (F.col("bucket") == F.col("_b")) & (F.col("n") == F.col("_n")), "left").withColumn("_i", F.coalesce(mine, F.lit(0))).withColumn("_j", others)
+    dealt = dealt.select("bucket", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), "cls", "n", "sig", "grams", "rest")
 
     def traverse(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["n"].to_numpy(np.int64)
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint64).reshape(-1, WORDS)
-        own = np.frombuffer(b"".join(pdf["own"]), np.uint64).reshape(-1, OWN_WORDS)
-        order = np.lexsort((n, *own.T))
-        cls = pdf["cls"].to_numpy(np.int64)[order]
-        a, b = [], []
-        for x, y in SignatureTree(sig[order], own[order], n[order]).pairs(threshold):
-            a.append(np.minimum(cls[x], cls[y]))
-            b.append(np.maximum(cls[x], cls[y]))
-        return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+        row = np.repeat(np.arange(len(pdf)), [len(x) // 4 for x in pdf["grams"]])
+        gram, rest = _joined(pdf, "grams", np.uint32), _joined(pdf, "rest", np.int32).astype(np.int64)
+        sig, n, cls = _joined(pdf, "sig", np.uint64).reshape(-1, WORDS), pdf["n"].to_numpy(np.int64), pdf["cls"].to_numpy(np.int64)
+        order = np.lexsort((n[row], gram))
+        row = row[order]
+        found = [np.zeros((2, 0), np.int64)]
+        for x, y in SignatureTree(sig[row], gram[order], n[row], rest[order], row).pairs(threshold):
+            found.append(np.sort(cls[row[np.stack([x, y])]], axis=0))
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pd.DataFrame({"a": a, "b": b})
 
     return dealt.groupBy("bucket", "i", "j").applyInPandas(traverse, "a long, b long").distinct()
 
@@ -365,12 +392,19 @@ class NearDuplicates:
         made = parts[0]
         for p in parts[1:]:
             made = made.unionByName(p)
-        made = stored(made)
-        self.members = made.select("kind", "id", "cls")
+        # A record's number, fixed by being written; a class goes by the number of one of its records, so two classes never share one.
+        written = Stored(made.withColumn("row", F.monotonically_increasing_id()))
+        made = written.df
+        same = ["kind", "n", "d1", "d2"]
         # Classes of several records; the others stand for themselves.
-        self.copies = stored(self.members.groupBy("cls").agg(F.count("*").alias("_m"), F.min("id").alias("_rep")).where("_m > 1").select(F.col("cls").alias("_c"), "_rep"))
-        sets = made.join(self.copies, F.col("cls") == F.col("_c"), "left").where("_rep is null or _rep = id").select("cls", "n", "grams")
-        self.pairs = stored(similar_classes(sets, threshold))
+        copies = stored(made.groupBy(*same).agg(F.count("*").alias("_m"), F.min("row").alias("_rep")).where("_m > 1").drop("_m"))
+        named = made.join(copies, same, "left").withColumn("cls", F.coalesce("_rep", "row"))
+        self.members = stored(named.select("kind", "id", "cls"))
+        self.copies = copies.select(F.col("_rep").alias("_c"))
+        sets = Stored(named.where("cls = row").select("cls", "n", "grams"))
+        written.drop()
+        self.pairs = stored(similar_classes(sets.df, threshold))
+        sets.drop()
 
     def all_pairs(self) -> DataFrame:
         """(kind, id_1, id_2), id_1 < id_2: every pair of similar records, copies included."""

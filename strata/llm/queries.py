@@ -24,7 +24,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sequences(spark: SparkSession, d: str) -> DataFrame:
-    return stored(spans.distinct_sequences(table(spark, d, "code_blocks"), "token_hash", "token_sequence"))
+    return spans.numbered(spans.distinct_sequences(table(spark, d, "code_blocks"), "token_hash", "token_sequence"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,6 +92,17 @@ numbered AS (SELECT *, sum(starts) OVER (PARTITION BY token_hash ORDER BY pos) A
 spans AS (SELECT token_hash, CAST(min(pos) AS BIGINT) AS span_start, CAST(max(pos) + 39 AS BIGINT) AS span_end FROM numbered GROUP BY token_hash, k)
 """
 
+_P6 = r"""
+WITH records AS (SELECT token_hash AS id, any_value(token_sequence) AS s FROM code_blocks WHERE token_hash IS NOT NULL AND token_sequence IS NOT NULL GROUP BY token_hash),
+snippets AS (SELECT lpad(CAST(snippet_id AS VARCHAR), 12, '0') AS id, regexp_extract_all(code, '[A-Za-z0-9_]+|[^\sA-Za-z0-9_]') AS s FROM code_snippets WHERE code IS NOT NULL),
+grams AS (
+  SELECT DISTINCT 'block' AS kind, id, CAST(s[i:i + 4] AS VARCHAR) AS g FROM (SELECT id, s, unnest(range(1, len(s) - 3)) AS i FROM records WHERE len(s) >= 5)
+  UNION ALL SELECT DISTINCT 'snippet', id, array_to_string(s[i:i + 4], ' ') FROM (SELECT id, s, unnest(range(1, len(s) - 3)) AS i FROM snippets WHERE len(s) >= 5)
+), sizes AS (SELECT kind, id, count(*) AS n FROM grams GROUP BY kind, id),
+both_have AS (SELECT a.kind, a.id AS id_1, b.id AS id_2, count(*) AS k FROM grams a JOIN grams b ON a.kind = b.kind AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3), alike AS (
+SELECT p.kind, id_1, id_2 FROM both_have p JOIN sizes x ON x.kind = p.kind AND x.id = id_1 JOIN sizes y ON y.kind = p.kind AND y.id = id_2 WHERE 10 * k >= 6 * (x.n + y.n - k))
+"""
+
 ORACLES: dict[str, str] = {
     "p3_found": """
 WITH RECURSIVE links AS (
@@ -105,14 +116,13 @@ SELECT node AS block_id, min(seen) AS group_id FROM reach GROUP BY node""",
     + """, sums AS (SELECT token_hash, sum(span_end - span_start + 1) AS n FROM spans GROUP BY token_hash)
 SELECT token_hash, CAST(len(s) AS BIGINT) AS n_tokens, CAST(coalesce(n, 0) AS BIGINT) AS n_shared, CASE WHEN len(s) = 0 THEN 0.0 ELSE coalesce(n, 0) / CAST(len(s) AS DOUBLE) END AS share
 FROM records LEFT JOIN sums USING (token_hash)""",
-    "p6_found": r"""
-WITH records AS (SELECT token_hash AS id, any_value(token_sequence) AS s FROM code_blocks WHERE token_hash IS NOT NULL AND token_sequence IS NOT NULL GROUP BY token_hash),
-snippets AS (SELECT lpad(CAST(snippet_id AS VARCHAR), 12, '0') AS id, regexp_extract_all(code, '[A-Za-z0-9_]+|[^\sA-Za-z0-9_]') AS s FROM code_snippets WHERE code IS NOT NULL),
-grams AS (
-  SELECT DISTINCT 'block' AS kind, id, CAST(s[i:i + 4] AS VARCHAR) AS g FROM (SELECT id, s, unnest(range(1, len(s) - 3)) AS i FROM records WHERE len(s) >= 5)
-  UNION ALL SELECT DISTINCT 'snippet', id, array_to_string(s[i:i + 4], ' ') FROM (SELECT id, s, unnest(range(1, len(s) - 3)) AS i FROM snippets WHERE len(s) >= 5)
-), sizes AS (SELECT kind, id, count(*) AS n FROM grams GROUP BY kind, id),
-both_have AS (SELECT a.kind, a.id AS id_1, b.id AS id_2, count(*) AS k FROM grams a JOIN grams b ON a.kind = b.kind AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3)
-SELECT p.kind, id_1, id_2 FROM both_have p JOIN sizes x ON x.kind = p.kind AND x.id = id_1 JOIN sizes y ON y.kind = p.kind AND y.id = id_2 WHERE 10 * k >= 6 * (x.n + y.n - k)""",
+    "p6_found": _P6 + "SELECT * FROM alike",
+    "p6_groups": _P6.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, sets AS (SELECT kind, id, CAST(list_sort(list(g)) AS VARCHAR) AS content FROM grams GROUP BY kind, id),
+sized AS (SELECT kind, id, content, count(*) OVER (PARTITION BY kind, content) AS n_copies FROM sets),
+edges AS (SELECT kind, id_1 AS a, id_2 AS b FROM alike UNION ALL SELECT kind, id_2, id_1 FROM alike),
+reach AS (SELECT kind, a AS id, b AS seen FROM edges UNION SELECT r.kind, r.id, e.b FROM reach r JOIN edges e ON e.kind = r.kind AND e.a = r.seen),
+links AS (SELECT e.kind, e.a AS id, count(DISTINCT y.content) FILTER (WHERE y.content <> x.content) AS n_links FROM edges e JOIN sized x ON x.kind = e.kind AND x.id = e.a JOIN sized y ON y.kind = e.kind AND y.id = e.b GROUP BY ALL)
+SELECT r.kind, r.id, least(r.id, min(r.seen)) AS group_id, s.n_copies, l.n_links FROM reach r JOIN sized s ON s.kind = r.kind AND s.id = r.id JOIN links l ON l.kind = r.kind AND l.id = r.id GROUP BY r.kind, r.id, s.n_copies, l.n_links""",
     "p8_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -93,8 +93,13 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct_sequences(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """(key, seq, rec): one row per key with a sequence; rec is a 64-bit digest of the key."""
-    return df.where(F.col(key).isNotNull() & F.col(seq).isNotNull()).groupBy(key).agg(F.first(seq).alias(seq)).withColumn("rec", F.xxhash64(F.lit(11), key))
+    """(key, seq): one row per key with a sequence."""
+    return df.where(F.col(key).isNotNull() & F.col(seq).isNotNull()).groupBy(key).agg(F.first(seq).alias(seq))
+
+
+def numbered(records: DataFrame) -> DataFrame:
+    """The records, written, with `rec`: a number of each that no other has. It stays what it is because it is written."""
+    return stored(records.withColumn("rec", F.monotonically_increasing_id()))
 
 
 def islands(df: DataFrame, by: str, first: Column, last: Column) -> DataFrame:
@@ -108,7 +113,7 @@ def islands(df: DataFrame, by: str, first: Column, last: Column) -> DataFrame:
 def shared_spans(records: DataFrame, key: str, seq: str, length: int = 40) -> DataFrame:
     """(key, span_start, span_end): the maximal stretches of tokens that lie in a run of `length` that some other record holds too.
 
-    `records` has one row per key (see distinct_sequences, whose result it should be, stored). Chunks are counted by
+    `records` has one row per key, `numbered` (see distinct_sequences). Chunks are counted by
     anchor: chunks under an anchor that only one record has share nothing. Chunks with equal digests in two
     records are shared whole. Only for the distinct chunks that are left, under anchors that several records have, are the
     windows' digests compared. All three counts keep just the least and greatest record of a group and are

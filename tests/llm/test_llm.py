@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strata.llm import bpe, components, mixing, neardup, spans, splitting
 
@@ -78,7 +79,7 @@ def test_spans(spark):
     records["copy"] = records["r1"]
     rows = [(k, t, 1) for k, t in records.items()] + [("null", None, 1), (None, [1] * 60, 1), ("r1", records["r1"], 1)]
     df = spark.createDataFrame(rows, "h string, t array<int>, rec int").drop("rec")
-    recs = spans.distinct_sequences(df, "h", "t")
+    recs = spans.numbered(spans.distinct_sequences(df, "h", "t"))
     for length in (16, 40):
         got = [tuple(r) for r in spans.shared_spans(recs, "h", "t", length).collect()]
         assert len(got) == len(set(got))
@@ -147,6 +148,40 @@ def test_near_duplicates(spark, monkeypatch, threshold, per_tree):
     assert groups == brute_components([p for p in want])
 
 
+def test_a_gram_in_a_third_of_all_records(spark, monkeypatch):
+    """Hot grams' buckets are dealt into blocks by size, sizes that are too far apart never meet, and no pair is lost."""
+    monkeypatch.setattr(neardup, "HOT_SHARE", 40)
+    monkeypatch.setattr(neardup, "ENTRIES_PER_TREE", 10)
+    rnd = random.Random(4)
+    hot = [1, 2, 3, 4, 5, 6]
+    records = {}
+    for i in range(90):
+        t = [rnd.randrange(2000) for _ in range(rnd.choice((6, 12, 40, 41, 42, 120)))]
+        records[f"a{i:02}"] = hot + t if i % 3 == 0 else t
+        records[f"b{i:02}"] = [*records[f"a{i:02}"][:-1], 7]
+    df = spark.createDataFrame(list(records.items()), "id string, t array<int>")
+    got = {(a, b) for _, a, b in neardup.NearDuplicates([("block", df, "id", "t", False)], 0.6).all_pairs().collect()}
+    assert got == brute_similar({k: grams(v) for k, v in records.items()}, 0.6) and len(got) > 60
+
+
+def test_size_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "ENTRIES_PER_TREE", 4)
+    entries = spark.createDataFrame([(1, n) for n in [5] * 9 + [6, 7, 9, 10, 100, 100]] + [(2, 5)] * 4, "bucket long, n int")
+    got = {r["_n"]: (r["first"], r["last"], r["low"], r["high"]) for r in neardup.size_blocks(entries, 0.6).collect()}
+    assert got == {5: (0, 2, 0, 2), 6: (2, 2, 0, 3), 7: (2, 2, 0, 3), 9: (2, 2, 2, 3), 10: (3, 3, 2, 3), 100: (3, 3, 3, 3)}
+
+
+def test_equal_digests_of_one_half_keep_records_apart(spark, monkeypatch):
+    """Classes are told apart by both halves of the digest: with the first half the same for all, nothing is lost or merged."""
+    whole = neardup.set_classes
+    monkeypatch.setattr(neardup, "set_classes", lambda *a: whole(*a).withColumn("d1", F.lit(7).cast("long")))
+    records = {"a": list(range(20)), "b": list(range(20)), "c": list(range(1, 21)), "d": list(range(50, 70))}
+    df = spark.createDataFrame(list(records.items()), "id string, t array<int>")
+    near = neardup.NearDuplicates([("block", df, "id", "t", False)], 0.6)
+    assert {(x, y) for _, x, y in near.all_pairs().collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
+    assert {r["id"]: (r["group_id"], r["n_copies"], r["n_links"]) for r in near.groups().collect()} == {"a": ("a", 2, 1), "b": ("a", 2, 1), "c": ("a", 1, 1)}
+
+
 def test_near_duplicate_code(spark):
     code = {"1": "def f(a):\r\n    return a + b_1 * 'é'", "2": "def f(a):\n\treturn a + b_1 *   'é'  ", "3": "", "4": None, "5": "x"}
     df = spark.createDataFrame(list(code.items()), "id string, code string")
