@@ -34,6 +34,8 @@ VOCABULARY = os.environ.get("STRATA_BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_5
 
 #: Bounds of a worker's memory: beyond them the tables start anew, which costs time only.
 MAX_STATES, MAX_WORDS, LONG_WORD = 200_000, 300_000, 64
+#: Bytes of a word after which the states are counted again.
+STRETCH = 4096
 
 
 class Transducer:
@@ -143,10 +145,19 @@ class Transducer:
             self._reset()
         out: list[int] = []
         at, steps = self.start, self.steps
-        for byte in word:
+        for byte in word if len(word) <= STRETCH else word[:STRETCH]:
             at, emitted = steps[at].get(byte) or self._step(at, byte)
             if emitted:
                 out += emitted
+        for first in range(STRETCH, len(word), STRETCH):
+            if len(self.keys) > MAX_STATES:  # a long word goes on from the same state in an empty table
+                here = self.keys[at]
+                self._reset()
+                at, steps = self._state(*here), self.steps
+            for byte in word[first : first + STRETCH]:
+                at, emitted = steps[at].get(byte) or self._step(at, byte)
+                if emitted:
+                    out += emitted
         end = self.ends[at]
         out += self._end(at) if end is None else end
         return out

@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 
 from strata.session import Stored
 
-#: Rounds after which something must be wrong: each is expected to remove at least a quarter of the vertices.
-MOST_ROUNDS = 200
-
 
 def connected_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every value of `a` and `b` that a pair of different values links; the component is its least node.
 
     Each round gives the vertices a fresh random order (a seeded hash) and hooks each vertex to the first in its closed
     neighbourhood; edges are relabelled, made unique and loops dropped. A vertex hooks to itself only if it is first
-    among its neighbours, so a constant share of vertices vanishes in every round, whatever the graph's diameter. The
-    rounds' mappings are then composed from the last to the first.
+    among its neighbours, so a constant share of vertices vanishes in every round, whatever the graph's diameter, and at least
+    one (the last in order of any that have an edge), so the rounds end without a bound on their number. The rounds' mappings are then composed from the last to the first.
 
     A hub with a third of all edges is no hot spot: its edges are reduced by partial aggregation where a neighbourhood's first
     is sought, and the relabelling joins, one row per vertex on the other side, are split by adaptive execution. Every
@@ -30,8 +27,6 @@ def connected_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     edges = Stored(ends.select(both.alias("e")).select("e.a", "e.b").distinct())
     steps: list[Stored] = []
     while not edges.df.isEmpty():
-        if len(steps) == MOST_ROUNDS:
-            raise RuntimeError("contraction does not end")
         seed = F.lit(len(steps))
         order = lambda c: F.struct(F.xxhash64(seed, F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         first = F.least(F.min(order("b")), order("a"))
