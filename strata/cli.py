@@ -1,4 +1,4 @@
-"""Command line: python -m strata list | run QUERY --data DIR --out PATH | ingest ROOT --out DIR | rules FILE --out PATH."""
+"""Command line: python -m strata list | run QUERY --data DIR [--out PATH] | ingest ROOT --out DIR | rules FILE --data DIR --out PATH | deleted-files REPOSITORY --out PATH."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ from importlib import import_module
 
 from pyspark.sql import SparkSession
 
+from strata.operators import audits, rules
 from strata.plans import core, reference
+from strata.session import released, stored
 from strata.sources import revisions
+from strata.sources.config import Config
 
 #: What the commands of the original analysis are called here.
 COMMANDS = {
@@ -48,10 +51,17 @@ def main(args: list[str] | None = None) -> int:
     run.add_argument("query", help="a query, or a command of the original analysis")
     run.add_argument("--data", required=True)
     run.add_argument("--out")
+    run.add_argument("--config", help="a file of settings; else the usual places")
     run.add_argument("--format", choices=["parquet", "csv", "json"], default="parquet")
     ingest = sub.add_parser("ingest", help="reads revision directories into tables partitioned by revision")
     ingest.add_argument("root")
     ingest.add_argument("--out", required=True)
+    rule = sub.add_parser("rules", help="applies rules to the code snippets of a folder of tables")
+    rule.add_argument("file", help="a YAML file, or `default`")
+    rule.add_argument("--only", help="names, separated by commas")
+    rule.add_argument("--data", required=True)
+    rule.add_argument("--out", required=True)
+    rule.add_argument("--format", choices=["parquet", "csv", "json"], default="parquet")
     git = sub.add_parser("deleted-files", help="files deleted in a git repository")
     git.add_argument("repository")
     git.add_argument("--out", required=True)
@@ -64,14 +74,27 @@ def main(args: list[str] | None = None) -> int:
         name = COMMANDS.get(a.query, a.query)
         if name not in all_queries():
             parser.error(f"no query {a.query!r}")
-        df = all_queries()[name](spark, a.data)
-        if a.out:
-            revisions.write_stage(df, a.out, a.format)
-        else:
-            df.show(50, truncate=60)
+        reference.configure(Config.load(a.config))
+        with released(spark):
+            df = all_queries()[name](spark, a.data)
+            if a.out:
+                revisions.write_stage(df, a.out, a.format)
+            else:
+                df.show(50, truncate=60)
     elif a.command == "ingest":
-        revisions.write_stage(revisions.read_code_blocks(spark, a.root), f"{a.out}/code_blocks", by=["revision_dir"])
-        revisions.write_stage(revisions.read_clone_pairs(spark, a.root), f"{a.out}/clone_pairs", by=["revision_dir"])
+        with released(spark):
+            blocks, rejects = revisions.load_code_blocks(spark, a.root)
+            blocks = stored(blocks)
+            pairs = stored(revisions.read_clone_pairs(spark, a.root))
+            revisions.write_stage(blocks, f"{a.out}/code_blocks", by=["revision_dir"])
+            revisions.write_stage(pairs, f"{a.out}/clone_pairs", by=["revision_dir"])
+            revisions.write_stage(rejects, f"{a.out}/rejects")
+            # Warnings, not errors: a row per rule.
+            report = audits.validate_blocks(blocks).unionByName(audits.validate_pairs(pairs, "token_hash_1", "token_hash_2"))
+            revisions.write_stage(report, f"{a.out}/violations", "csv")
+    elif a.command == "rules":
+        chosen = rules.select_rules(rules.make_rules() if a.file == "default" else rules.load_rules(a.file), a.only)
+        revisions.write_stage(rules.apply_rules(spark.read.parquet(f"{a.data}/code_snippets.parquet"), chosen).drop("code"), a.out, a.format)
     else:
         revisions.write_stage(import_module("strata.sources.repository").read_deleted_files(spark, a.repository), a.out, "csv")
     return 0

@@ -120,3 +120,10 @@ def method_states(tracked: DataFrame) -> DataFrame:
         .otherwise(F.when(changed, "survived_modified").otherwise("survived_unchanged"))
     )
     return tracked.withColumn("state", state)
+
+
+def ground_truth(snippets: DataFrame, revisions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The snippets whose block is in their own revision, beside it: joined on revision and block id (a block of another revision is none)."""
+    times = revisions.where("revision_id is not null").select(F.col("revision_dir").alias("revision"), "revision_id").distinct()
+    held = blocks.select("revision_id", F.col("block_id").cast("string").alias("global_block_id"), "method_name", "token_hash")
+    return snippets.join(times, "revision").join(held, ["revision_id", "global_block_id"])

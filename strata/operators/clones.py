@@ -211,3 +211,13 @@ def track_groups(groups: DataFrame, steps: DataFrame, overlap: float = 0.5) -> D
     born = b.join(steps.where("next_revision_id is not null").select("revision_id", "next_revision_id"), "next_revision_id").join(linked.select("next_revision_id", "next_group_id"), ["next_revision_id", "next_group_id"], "left_anti")
     born = born.select("revision_id", "next_revision_id", F.lit(None).cast("string").alias("group_id"), "next_group_id", F.lit("born").alias("state"), F.lit(None).cast("long").alias("n_members"), "n_next", F.lit(0).cast("long").alias("n_common"), F.col("n_next").alias("member_added"), F.lit(0).cast("long").alias("member_removed"))
     return moved.unionByName(gone).unionByName(born)
+
+
+def group_statistics(snapshot: DataFrame) -> DataFrame:
+    """Per revision: groups, members, mean and greatest size, mean density and similarity of the groups (see group_snapshot)."""
+    return snapshot.groupBy("revision_id").agg(F.count("*").alias("n_groups"), F.sum("n_members").alias("n_members"), F.avg("n_members").alias("mean_members"), F.max("n_members").alias("most_members"), F.avg("density").alias("mean_density"), F.avg("avg_similarity").alias("mean_similarity"))
+
+
+def group_state_counts(tracking: DataFrame) -> DataFrame:
+    """(revision_id, state, n) of track_groups."""
+    return tracking.groupBy("revision_id", "state").agg(F.count("*").alias("n"))

@@ -55,6 +55,16 @@ def pattern_statistics(samples: DataFrame, key: str, examples: int = 3) -> DataF
     return n.join(first, "pattern", "left").select("pattern", "deleted", "survived", ratio.alias("ratio"), F.when(ratio > 0.5, "high").when(ratio < 0.3, "protective").otherwise("neutral").alias("risk"), F.when(ratio > 0.6, "strong").when(ratio > 0.4, "balanced").otherwise("weak").alias("band"), F.coalesce("examples", F.array().cast(f"array<{long.schema[key].dataType.simpleString()}>")).alias("examples"))
 
 
+def top_patterns(statistics: DataFrame, k: int = 10) -> DataFrame:
+    """The `k` patterns that go with deletion most, in order (a top-k report): by ratio, then by how many were deleted, then by name."""
+    return statistics.orderBy(F.desc("ratio"), F.desc("deleted"), "pattern").limit(k)
+
+
+def first_sample(samples: DataFrame, test: Column, order: list[str]) -> DataFrame:
+    """The first row in `order` for which `test` holds; none if there is none."""
+    return samples.where(test).orderBy(*order).limit(1)
+
+
 def characteristics(samples: DataFrame) -> DataFrame:
     """Percent of deleted and surviving samples with a docstring, error handling, debt markers, a private name, a property decorator."""
     code, name = F.col("code"), F.col("function_name")

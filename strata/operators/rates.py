@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.quality import exact_quantiles
+
 
 def status() -> Column:
     """absorbed before deleted before survived."""
@@ -41,20 +43,20 @@ def rates_by_clone(tracked: DataFrame) -> DataFrame:
     return _with_average(tracked.where("prev_revision_id is not null").groupBy("prev_revision_id").agg(*counts, *rates), "prev_revision_id")
 
 
-def rates_by_similarity(tracked: DataFrame) -> DataFrame:
+def rates_by_similarity(tracked: DataFrame, high: float = 90.0, low: float = 70.0) -> DataFrame:
     """Per revision the counts of each status at high, low and neither similarity, and the rates (percent) of methods with clones
     at high and low similarity; a rate without rows is null. Last comes the Average row."""
-    s, (high, low) = status(), similarity_level()
-    levels = {"high": high, "low": low, "neither": ~high & ~low}
+    s, (is_high, is_low) = status(), similarity_level(high, low)
+    levels = {"high": is_high, "low": is_low, "neither": ~is_high & ~is_low}
     counts = [F.count_if((s == x) & level).alias(f"{x}_{name}") for x in ("absorbed", "deleted", "survived") for name, level in levels.items()]
     rates = [_rate(f"is_{x}", levels[name] & F.col("has_clone")).alias(f"{name}_{x}_rate") for name in ("high", "low") for x in ("deleted", "absorbed")]
     return _with_average(tracked.where("prev_revision_id is not null").groupBy("prev_revision_id").agg(*counts, *rates), "prev_revision_id")
 
 
-def similarity_counts(tracked: DataFrame) -> DataFrame:
+def similarity_counts(tracked: DataFrame, high: float = 90.0, low: float = 70.0) -> DataFrame:
     """(level, n_matched, n_unmatched) for high and low similarity."""
-    high, low = similarity_level()
-    level = F.when(high, "high").when(low, "low")
+    is_high, is_low = similarity_level(high, low)
+    level = F.when(is_high, "high").when(is_low, "low")
     return tracked.withColumn("level", level).where("level is not null").groupBy("level").agg(F.count_if("is_matched").alias("n_matched"), F.count_if(~F.col("is_matched")).alias("n_unmatched"))
 
 
@@ -76,19 +78,44 @@ def rate_series(rates: DataFrame) -> DataFrame:
     return rates.where("prev_revision_id <> 'Average'").unpivot(["prev_revision_id"], values, "metric", "value").withColumnRenamed("prev_revision_id", "revision")
 
 
-def describe(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """count, mean, std, min, quartiles (exact, interpolated) and max of a column; nulls left out."""
-    q = lambda p: F.expr(f"percentile({column}, {p})")
-    aggs = [F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(column).alias("max")]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+def describe(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """count, mean, std, min, quartiles (exact, interpolated) and max of a column per group; nulls left out, a group without values missing.
+
+    The quartiles come from counted values (quality.exact_quantiles): no group's values are held together.
+    """
+    v = df.where(F.col(column).isNotNull())
+    base = v.groupBy(*by).agg(F.count("*").alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    q = exact_quantiles(v, by, column, [0.25, 0.5, 0.75]).select(*by, F.col("q0").alias("lower"), F.col("q1").alias("median"), F.col("q2").alias("q3")).withColumnRenamed("lower", "q1")
+    return base.join(q, by)
 
 
 def column_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, n, mean, median, std, min, max) of several numeric columns, in one pass."""
+    """(column_name, n, mean, median, std, min, max) of several numeric columns."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
     return describe(long, "v", ["column_name"]).select("column_name", "n", "mean", "median", "std", "min", "max")
 
 
+def coerce(df: DataFrame, numbers: list[str] = (), times: list[str] = (), booleans: list[str] = (), names: dict[str, str] | None = None) -> DataFrame:
+    """Texts as doubles, timestamps or booleans (True, true, 1 and their opposites), null for what is none; then `names` renames columns."""
+    truth = lambda c: F.when(F.lower(c).isin("true", "1", "1.0"), True).when(F.lower(c).isin("false", "0", "0.0"), False)
+    made = {c: F.col(c).cast("string").try_cast("double") for c in numbers} | {c: F.col(c).cast("string").try_cast("timestamp_ntz") for c in times} | {c: truth(F.col(c).cast("string")) for c in booleans}
+    return (df.withColumns(made) if made else df).withColumnsRenamed(names or {})
+
+
+def formatted_means(pairs: DataFrame) -> DataFrame:
+    """(metric, mean_first, mean_second) of paired_metrics as texts for people: whole numbers with commas for counts, three decimals of a share for rates."""
+    text = lambda c: F.when(F.col("metric").endswith("_rate"), F.format_number(F.avg(c) / 100, 3)).otherwise(F.format_number(F.avg(c), 0))
+    return pairs.where("first is not null and second is not null").groupBy("metric").agg(text("first").alias("mean_first"), text("second").alias("mean_second"))
+
+
+def union_aligned(*frames: DataFrame) -> DataFrame:
+    """All rows of several frames, columns by name; null where a frame lacks one."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
 def histogram(df: DataFrame, column: str, width: float) -> DataFrame:
     """(bin_from, n): rows by bins of equal width; nulls left out."""
     return df.where(F.col(column).isNotNull()).groupBy((F.floor(F.col(column) / width) * width).cast("double").alias("bin_from")).agg(F.count("*").alias("n"))

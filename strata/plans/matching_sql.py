@@ -162,3 +162,25 @@ ORACLES: dict[str, str] = {
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row) - 1 AS section FROM good), overview AS ({_OVERVIEW})
 SELECT n.* EXCLUDE (section), CAST(n.section AS INTEGER) AS section, {_fenced("Current")} AS current, {_fenced("Previous")} AS previous, o.members, o.match_type, o.avg_similarity FROM numbered n LEFT JOIN sections s USING (doc_id, section) JOIN overview o USING (doc_id)""",
 }
+ORACLES |= {
+    "top_patterns": f"SELECT * EXCLUDE (examples) FROM ({base.ORACLES['pattern_statistics']}) ORDER BY ratio DESC, deleted DESC, pattern LIMIT 10",
+    "first_deleted_sample": base._SAMPLES + " SELECT snippet_id, function_name FROM (SELECT s.snippet_id, c.function_name, c.code, s.is_deleted FROM samples s JOIN code_snippets c USING (snippet_id)) WHERE is_deleted AND code IS NOT NULL ORDER BY snippet_id LIMIT 1",
+    "ground_truth": f"WITH {base.BLOCKS_SQL} SELECT r.revision_id, s.global_block_id, s.revision, s.snippet_id, b.method_name, b.token_hash FROM code_snippets s JOIN (SELECT DISTINCT revision_dir, revision_id FROM revisions WHERE revision_id IS NOT NULL) r ON r.revision_dir = s.revision JOIN blocks b ON b.revision_id = r.revision_id AND CAST(b.block_id AS VARCHAR) = s.global_block_id",
+    "group_statistics": base._SNAPSHOT + " SELECT revision_id, count(*) AS n_groups, CAST(sum(n_members) AS BIGINT) AS n_members, avg(n_members) AS mean_members, max(n_members) AS most_members, avg(density) AS mean_density, avg(avg_similarity) AS mean_similarity FROM snapshot GROUP BY revision_id",
+    "group_state_counts": f"SELECT revision_id, state, count(*) AS n FROM ({_TRACK}) GROUP BY ALL",
+    "formatted_means": base._rate_table(base._BY_CLONE)
+    + ", cells AS ("
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric, {a} AS f, {b} AS s FROM rates" for m, (a, b) in CLONE_METRICS.items())
+    + ") SELECT metric, "
+    + ", ".join(f"CASE WHEN metric LIKE '%rate' THEN printf('%.3f', avg({c}) / 100) ELSE format('{{:,}}', CAST(round_even(avg({c}), 0) AS BIGINT)) END AS mean_{n}" for c, n in (("f", "first"), ("s", "second")))
+    + " FROM cells WHERE f IS NOT NULL AND s IS NOT NULL GROUP BY metric",
+    "classified_union": f"WITH {base.TRACKED_SQL} SELECT method_id, prev_revision_id, prev_file_path AS deleted_from, NULL AS moved_to FROM tracked WHERE prev_revision_id IS NOT NULL AND is_deleted UNION ALL SELECT method_id, prev_revision_id, NULL, curr_file_path FROM tracked WHERE prev_revision_id IS NOT NULL AND is_matched AND prev_file_path IS DISTINCT FROM curr_file_path",
+    "revision_names": r"SELECT revision_dir, CASE WHEN regexp_matches(revision_dir, '^[0-9]{8}_[0-9]{6}_[0-9A-Za-z]+$') THEN try_strptime(left(revision_dir, 15), '%Y%m%d_%H%M%S') END AS time FROM revisions",
+    "ingested_blocks": f"""SELECT v.revision_id, p.* EXCLUDE (raw_id, revision_dir, line_no, method_name), n.method_name FROM ({base.P1_ROWS_SQL}) p JOIN ({base.ORACLES['renamed_duplicates']}) n USING (raw_id)
+  JOIN (SELECT DISTINCT revision_dir, try_strptime(left(revision_dir, 15), '%Y%m%d_%H%M%S') AS revision_id FROM revisions WHERE regexp_matches(revision_dir, '^[0-9]{{8}}_[0-9]{{6}}_[0-9A-Za-z]+$')) v ON v.revision_dir = p.revision_dir AND v.revision_id IS NOT NULL
+  WHERE p.revision_dir IN (SELECT revision_dir FROM revisions r JOIN clone_pairs c ON c.revision_id = r.revision_id)""",
+    "ingested_pairs": f"WITH {base.PAIRS_SQL}, named AS (SELECT DISTINCT revision_dir, revision_id FROM revisions WHERE revision_id IS NOT NULL) SELECT p.token_hash_1, p.token_hash_2, p.ngram_overlap, p.verify_similarity, n.revision_id FROM pairs p JOIN named n ON n.revision_id = p.revision_id WHERE n.revision_dir IN (SELECT revision_dir FROM ({base.P1_ROWS_SQL}))",
+    "stage_as_csv": f"WITH {base.TRACKED_SQL} SELECT method_id, prev_revision_id, prev_file_path, similarity, is_matched FROM tracked",
+    "stage_as_json": base._SAMPLES + " SELECT s.snippet_id, c.function_name, c.code, c.loc, s.is_deleted FROM samples s JOIN code_snippets c USING (snippet_id)",
+    "rates_from_pivot": base._rate_table(base._BY_CLONE) + " SELECT CAST(prev_revision_id AS TIMESTAMP) AS revision, * EXCLUDE (prev_revision_id) FROM rates",
+}

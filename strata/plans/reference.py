@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,23 @@ from strata.operators import audits, clones, lineage, matching, patterns, rates,
 from strata.plans import matching_sql, reference_sql
 from strata.plans.core import p1_rows
 from strata.plans.inputs import blocks, pairs, table, tracked
-from strata.session import stored
-from strata.sources import reports
+from strata.session import shared_folder, stored
+from strata.sources import pivot, reports, revisions
+from strata.sources.config import Config
 
 ORACLES: dict[str, str] = reference_sql.ORACLES | matching_sql.ORACLES
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+#: What the matching queries go by; the command line replaces it by a file's.
+SETTINGS = Config()
+
+
+def configure(settings: Config) -> None:
+    global SETTINGS
+    SETTINGS = settings
+
+
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
@@ -76,24 +87,30 @@ def similarity_candidates(spark, d):
 
 @query
 def similar_sequences(spark, d):
-    return matching.similar_sequences(blocks(spark, d, tokens=True))
+    return _similar(blocks(spark, d, tokens=True))
 
 
 @query
 def similar_sequences_by_lsh(spark, d):
-    return matching.similar_sequences(blocks(spark, d, tokens=True), approximate=True)
+    return _similar(blocks(spark, d, tokens=True), approximate=True)
 
 
-def _matches(spark, d, prefer=True):
+def _similar(b, approximate=False):
+    m = SETTINGS.matching
+    return matching.similar_sequences(b, m.ngram_size, m.overlap, m.similarity, approximate, m.top_k)
+
+
+def _matches(spark, d, prefer=None):
+    prefer = SETTINGS.matching.prefer_signature_target if prefer is None else prefer
     b = stored(blocks(spark, d, tokens=True))
-    similar = stored(matching.similar_sequences(b))
+    similar = stored(_similar(b))
     return b, similar, matching.combined_match(matching.signature_match(b), matching.similarity_match(b, similar), similar, prefer)
 
 
 @query
 def similarity_match(spark, d):
     b = stored(blocks(spark, d, tokens=True))
-    return matching.similarity_match(b, stored(matching.similar_sequences(b)))
+    return matching.similarity_match(b, stored(_similar(b)))
 
 
 @query
@@ -191,12 +208,12 @@ def rates_by_clone(spark, d):
 
 @query
 def rates_by_similarity(spark, d):
-    return rates.rates_by_similarity(enriched(spark, d))
+    return rates.rates_by_similarity(enriched(spark, d), SETTINGS.levels.high, SETTINGS.levels.low)
 
 
 @query
 def similarity_counts(spark, d):
-    return rates.similarity_counts(enriched(spark, d))
+    return rates.similarity_counts(enriched(spark, d), SETTINGS.levels.high, SETTINGS.levels.low)
 
 
 @query
@@ -507,6 +524,110 @@ def stratified_sample_seeded(spark, d):
     return patterns.stratified_sample(_samples(spark, d).select("snippet_id", "is_deleted"), "snippet_id", "is_deleted", 50)
 
 
+@query
+def top_patterns(spark, d):
+    """A top-k report: the ten patterns that go with deletion most."""
+    return patterns.top_patterns(pattern_statistics(spark, d).drop("examples"))
+
+
+@query
+def first_deleted_sample(spark, d):
+    """The first sample, by id, whose method is deleted and that has code."""
+    return patterns.first_sample(_samples(spark, d).select("snippet_id", "function_name", "code", "is_deleted"), F.col("is_deleted") & F.col("code").isNotNull(), ["snippet_id"]).select("snippet_id", "function_name")
+
+
+@query
+def ground_truth(spark, d):
+    s = table(spark, d, "code_snippets").select("snippet_id", "revision", "global_block_id")
+    return audits.ground_truth(s, table(spark, d, "revisions"), blocks(spark, d))
+
+
+@query
+def group_statistics(spark, d):
+    return clones.group_statistics(group_snapshot(spark, d))
+
+
+@query
+def group_state_counts(spark, d):
+    return clones.group_state_counts(group_tracking(spark, d))
+
+
+@query
+def formatted_means(spark, d):
+    return rates.formatted_means(significance.paired_metrics(rates_by_clone(spark, d), significance.CLONE_METRICS))
+
+
+@query
+def classified_union(spark, d):
+    """Deleted files' methods and methods without a file, in one frame: each side has columns that the other lacks."""
+    t = tracked(spark, d).where("prev_revision_id is not null")
+    gone = t.where("is_deleted").select("method_id", "prev_revision_id", F.col("prev_file_path").alias("deleted_from"))
+    moved = t.where(F.col("is_matched") & ~F.col("prev_file_path").eqNullSafe(F.col("curr_file_path"))).select("method_id", "prev_revision_id", F.col("curr_file_path").alias("moved_to"))
+    return rates.union_aligned(gone, moved)
+
+
+# Files: tables written as the analysis' files and read again by its readers
+
+
+@query
+def revision_names(spark, d):
+    """The times that names of revision directories stand for; null for a name of another form."""
+    return table(spark, d, "revisions").select("revision_dir", revisions.revision_time(F.col("revision_dir")).alias("time"))
+
+
+def _directories(spark, d):
+    """Revision directories of the records that can be loaded (a damaged one would take others along in a file) and of the pairs."""
+    raw = table(spark, d, "code_blocks_raw")
+    good = raw.join(p1_rows(spark, d).select("raw_id"), "raw_id").withColumn("line", F.regexp_replace("line", r"(\r\n|\r|\n)\z", ""))
+    named = table(spark, d, "revisions").where("revision_id is not null").select("revision_dir", "revision_id").distinct()
+    held = pairs(spark, d).join(named, "revision_id")
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    lines = held.select("revision_dir", F.concat_ws(",", "token_hash_1", "token_hash_2", number("ngram_overlap"), number("verify_similarity")).alias("line"))
+    root = f"{shared_folder(spark)}/revisions-{uuid.uuid4().hex}"
+    revisions.write_revisions(good.select("revision_dir", F.struct("line_no", "raw_id").alias("n"), "line"), lines, root)
+    return root
+
+
+@query
+def ingested_blocks(spark, d):
+    """Records written to revision directories and loaded: found, parsed, repeated signatures numbered, rejects told apart (here none)."""
+    return revisions.load_code_blocks(spark, _directories(spark, d))[0].drop("revision_dir")
+
+
+@query
+def ingested_pairs(spark, d):
+    root = _directories(spark, d)
+    usable = revisions.usable_revisions(revisions.list_revisions(spark, root)).select("revision_dir")
+    return revisions.read_clone_pairs(spark, root).join(usable, "revision_dir", "left_semi").drop("revision_dir")
+
+
+def _again(df, form):
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    revisions.write_stage(df, path, form)
+    return revisions.read_stage(df.sparkSession, path, df.schema, form)
+
+
+@query
+def stage_as_csv(spark, d):
+    """Tracked rows written as csv and read again with a few columns and their types."""
+    return _again(tracked(spark, d).select("method_id", "prev_revision_id", "prev_file_path", "curr_method_name", "similarity", "is_matched"), "csv").select("method_id", "prev_revision_id", "prev_file_path", "similarity", "is_matched")
+
+
+@query
+def stage_as_json(spark, d):
+    """Samples written as json and read again."""
+    return _again(_samples(spark, d).select("snippet_id", "function_name", "code", "loc", "is_deleted"), "json")
+
+
+@query
+def rates_from_pivot(spark, d):
+    """The rate table written with two header lines and an Average row, and read again without them."""
+    made = rates_by_clone(spark, d)
+    path = f"{shared_folder(spark)}/pivot-{uuid.uuid4().hex}"
+    pivot.write_pivot(made, path)
+    return pivot.read_pivot(spark, path, made.columns, names={"prev_revision_id": "revision"})
+
+
 # Clone reports
 
 

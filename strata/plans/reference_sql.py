@@ -5,8 +5,10 @@ from __future__ import annotations
 from strata.operators.rules import DEFAULT_RULES
 from strata.operators.significance import CLONE_METRICS
 from strata.plans.core import _RAW
+from strata.plans.core import ORACLES as CORE_ORACLES
 from strata.plans.inputs import BLOCKS_SQL, ENRICHED_SQL, MEDIANS_SQL, PAIRS_SQL, TRACKED_SQL
 
+P1_ROWS_SQL = CORE_ORACLES["p1_rows"]
 _SIG = ("file_path", "method_name", "return_type", "parameters")
 _STAMP = "strftime({}, '%Y%m%d_%H%M%S')"
 

@@ -6,10 +6,13 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: dict[str, SparkSession] = {}
+_SCOPES: list[list[str]] = []
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -70,6 +73,25 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def rename(spark: SparkSession, path: str, new: str) -> None:
+    at, to = _path(spark, path), _path(spark, new)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(to.getParent())
+    if not fs.rename(at, to):
+        raise OSError(f"can't rename {path} to {new}")
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the intermediate tables written within: what was made of them must have been read or written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            discard(spark, path)
+
+
 class Stored:
     """An intermediate table: `df` reads it, `drop` deletes it. Lineage is cut, so a lost executor costs no recomputation."""
 
@@ -78,6 +100,8 @@ class Stored:
         self.path = os.path.join(shared_folder(self.spark), uuid.uuid4().hex)
         df.write.parquet(self.path, compression="zstd")
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if _SCOPES:
+            _SCOPES[-1].append(self.path)
 
     def drop(self) -> None:
         discard(self.spark, self.path)

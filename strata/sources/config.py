@@ -13,6 +13,8 @@ class Matching:
     overlap: float = 0.1
     similarity: float = 0.7
     prefer_signature_target: bool = True
+    #: Most targets of a source in the approximate form; all without.
+    top_k: int | None = None
 
 
 @dataclass

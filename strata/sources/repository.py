@@ -11,21 +11,32 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from strata.functions.code import strip
 
 
-class _Years(InputPartition):
-    def __init__(self, since: str | None, until: str | None):
-        super().__init__((since, until))
-        self.since, self.until = since, until
+#: Commits read by one task.
+COMMITS_PER_TASK = 2000
+
+
+class _Commits(InputPartition):
+    """A range of the log, counted from the latest commit."""
+
+    def __init__(self, skip: int):
+        super().__init__(skip)
+        self.skip = skip
 
 
 class _DeletedFilesReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.git = options["path"], options.get("git", "git")
 
+    def _run(self, *args: str, given: bytes | None = None) -> bytes:
+        return subprocess.run([self.git, "-C", self.path, *args], input=given, capture_output=True, check=True).stdout
+
     def partitions(self):
-        return [_Years(None, None)]
+        return [_Commits(i) for i in range(0, int(self._run("rev-list", "--count", "HEAD")), COMMITS_PER_TASK)]
 
     def read(self, partition):
-        out = subprocess.run([self.git, "-C", self.path, "log", "-z", "--diff-filter=D", "--no-renames", "--name-only", "--format=%x01%H%x02%cI%x02%B%x02"], capture_output=True, check=True).stdout.decode("utf-8", "replace")
+        # By name: log itself would count only the commits that it shows.
+        commits = self._run("rev-list", f"--skip={partition.skip}", f"--max-count={COMMITS_PER_TASK}", "HEAD")
+        out = self._run("log", "--no-walk=unsorted", "--stdin", "-z", "--diff-filter=D", "--no-renames", "--name-only", "--format=%x01%H%x02%cI%x02%B%x02", given=commits).decode("utf-8", "replace")
         for commit in out.split("\x01")[1:]:
             head, when, message, files = commit.split("\x02", 3)
             for f in filter(None, (x.strip("\n") for x in files.split("\0"))):

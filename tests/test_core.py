@@ -276,3 +276,29 @@ def test_drift_of_every_column(spark):
         assert [d for d in range(2, 9) if got[d, c]] == [at, at + 1], c
     columns = core.p7_drift(spark, SMALL).select("table_name", "column_name").distinct().collect()
     assert {tuple(r) for r in columns if r[1] != "*"} == {("code_blocks", c) for c in "file_path start_line end_line method_name return_type parameters commit_hash token_hash token_sequence loaded_at".split()} | {("clone_pairs", c) for c in "block_id_1 block_id_2 ngram_overlap verify_similarity loaded_at".split()}
+
+
+def test_profile_tells_arrays_apart(spark):
+    """Nulls in arrays, and where inner arrays end, make different values."""
+    rows = [([], [[1], [2]]), ([None], [[1, 2]]), ([1], [[1, 2], []]), ([1, None], None), ([1, None], [[1, 2]])]
+    df = spark.createDataFrame(rows, "a array<int>, b array<array<int>>")
+    got = {r["column_name"]: (r["n_distinct"], r["n_null"]) for r in quality.column_profile(df, "t", {}).collect()}
+    assert got == {"a": (4, 0), "b": (3, 1)}
+
+
+def test_drift_far_beyond_the_spread(spark):
+    """Two loads that differ in how far their outliers lie, and in nothing else: no value is cut off."""
+    rnd = random.Random(2)
+    rows = [(i, f"2024-01-0{1 + i % 2} 00:00:00", (1e12 if i % 2 else 1e30) if rnd.random() < 0.3 else rnd.uniform(1, 1.001)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k long, s string, x double").withColumn("s", F.col("s").cast("timestamp_ntz"))
+    assert quality.drift_test(df, "t", "k", "s", ["x"]).where("drifted").count() >= 1
+
+
+def test_exact_quantiles(spark):
+    rnd = random.Random(9)
+    values = [rnd.choice([None, -3.5, 0.0, rnd.uniform(-5, 900)]) for _ in range(301)]
+    df = spark.createDataFrame([(i % 3, v) for i, v in enumerate(values)], "g int, v double")
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.expr("percentile(v, array(0.1, 0.25, 0.5, 1.0))").alias("q")).collect()}
+    for r in quality.exact_quantiles(df, ["g"], "v", [0.1, 0.25, 0.5, 1.0]).collect():
+        assert [r[f"q{i}"] for i in range(4)] == pytest.approx(want[r["g"]])
+    assert quality.exact_quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0

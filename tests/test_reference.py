@@ -440,11 +440,40 @@ def test_revisions(spark, tmp_path):
     for form in ("parquet", "csv", "json"):
         revisions.write_stage(df, str(tmp_path / form), form)
         assert [tuple(r) for r in revisions.read_stage(spark, str(tmp_path / form), df.schema, form).collect()] == [(1, 'a"b,c', None)]
+    assert [r["revision_dir"] for r in revisions.usable_revisions(found, first=1).collect()] == [good.name]
+    # A field over two lines, a method twice, and a record that can't be loaded, between line ends of all kinds.
+    (old / "code_blocks.csv").write_text(line + line.replace('""b""\nc', "").replace("\n", "\r\n") + line.replace("1,2", "2,1") + "\n" + line)
     assert cli.main(["ingest", str(tmp_path), "--out", str(tmp_path / "out")]) == 0
-    assert spark.read.parquet(str(tmp_path / "out/code_blocks")).count() == 2
+    b = spark.read.parquet(str(tmp_path / "out/code_blocks")).orderBy("revision_id", "method_name").collect()
+    assert [(str(r["revision_id"])[:10], r["method_name"], r["parameters"]) for r in b] == [("2024-01-01", "f", 'self, a="b"\nc'), ("2024-01-02", "f", "self, a="), ("2024-01-02", "f_1", 'self, a="b"\nc'), ("2024-01-02", "f_2", 'self, a="b"\nc')]
+    rejects = spark.read.parquet(str(tmp_path / "out/rejects")).collect()
+    assert [(r["revision_dir"], r["reason"]) for r in rejects] == [(old.name, "value")] and "2,1" in rejects[0]["line"]
+    report = {r["rule"]: int(r["n_violations"]) for r in spark.read.option("header", "true").csv(str(tmp_path / "out/violations")).collect()}
+    assert report["start_after_end"] == 0 and report["self_pair"] == 0
 
 
-def test_git(spark, tmp_path):
+def test_records_of_one_line_are_not_read_whole(spark, tmp_path, monkeypatch):
+    d = tmp_path / "20240101_120000_abc"
+    d.mkdir()
+    (d / "code_blocks.csv").write_text("".join(f'x{i},"a ""b"" c"\n' for i in range(50)))
+    rows = revisions.read_records(spark, str(tmp_path)).orderBy("at").collect()
+    assert [r["line"] for r in rows] == [f'x{i},"a ""b"" c"' for i in range(50)] and {r["revision_dir"] for r in rows} == {d.name}
+    assert "wholetext" not in revisions.read_records(spark, str(tmp_path))._jdf.queryExecution().toString().lower()
+
+
+def test_released_tables(spark):
+    import os
+
+    from strata.session import Stored, released
+
+    with released(spark):
+        made = Stored(spark.range(3))
+        assert made.df.count() == 3
+    kept = Stored(spark.range(2))
+    assert not os.path.exists(made.path.removeprefix("file://")) and kept.df.count() == 2
+
+
+def test_git(spark, tmp_path, monkeypatch):
     changes = spark.createDataFrame([("0123456789", "2024-01-01T00:00:00+09:00", "DELETE", "a.py", " gone \n"), ("1", "x", "ADD", "b.py", "m")], "commit_hash string, committed_at string, change_type string, old_path string, message string")
     assert [tuple(r) for r in repository.deleted_files(changes).collect()] == [("0123456", "2024-01-01T00:00:00+09:00", "a.py", "gone")]
     tags = spark.createDataFrame([(t,) for t in ("v1.10.0", "v1.9.0", "v1.9.1", "v2.0.0", "x1.0.0", "v1.0")], "tag string")
@@ -460,6 +489,8 @@ def test_git(spark, tmp_path):
     git("add", "-A")
     git("commit", "-qm", "two\n\nmore")
     got = repository.read_deleted_files(spark, str(tmp_path)).collect()
+    monkeypatch.setattr(repository, "COMMITS_PER_TASK", 1)
+    assert sorted(map(tuple, repository.read_deleted_files(spark, str(tmp_path)).collect())) == sorted(map(tuple, got))
     assert {r["file_path"] for r in got} == {"a.py", "b é.py"} and all(len(r["commit_hash"]) == 7 and r["commit_message"] == "two\n\nmore" for r in got)
 
 
@@ -525,7 +556,19 @@ def test_relabel_chains(spark):
     assert {tuple(r) for r in lineage.relabel_chains(df).select("block_id", "global_block_id").collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x")}
 
 
-def test_cli(capsys):
+def test_cli(spark, capsys, tmp_path):
+    spec = tmp_path / "rules.yaml"
+    spec.write_text("rules:\n  - {name: loops, type: regex, patterns: ['\\bfor\\b']}\n  - {name: short, type: threshold, threshold: 3}\n")
+    assert cli.main(["rules", str(spec), "--only", "loops", "--data", SMALL, "--out", str(tmp_path / "ruled")]) == 0
+    ruled = spark.read.parquet(str(tmp_path / "ruled"))
+    assert "rule_loops" in ruled.columns and "rule_short" not in ruled.columns and ruled.where("rule_loops").count() > 0
+    settings = tmp_path / "settings.json"
+    settings.write_text('{"levels": {"high": 95.0, "low": 50.0}}')
+    try:
+        assert cli.main(["run", "nil sim-count", "--data", SMALL, "--config", str(settings), "--out", str(tmp_path / "counts")]) == 0
+        assert reference.SETTINGS.levels.low == 50.0 and spark.read.parquet(str(tmp_path / "counts")).count() > 0
+    finally:
+        reference.configure(config.Config())
     assert cli.main(["list"]) == 0 and "signature_match" in capsys.readouterr().out
     assert set(cli.COMMANDS.values()) <= set(cli.all_queries())
 
