@@ -252,7 +252,10 @@ def test_small_tables(published, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 3)
     monkeypatch.setattr(bpe, "MAX_WORDS", 2)
     e = bpe.Encoder(bpe.VOCABULARY)
-    for t in TEXTS:
+    monkeypatch.setattr(bpe, "STRETCH", 7)
+    rnd = random.Random(6)
+    one_word = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+    for t in [*TEXTS, one_word]:
         assert e.encode([t, t])[1].tolist() == published.encode_ordinary(t) * 2
 
 
