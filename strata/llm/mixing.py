@@ -13,6 +13,8 @@ from strata.session import stored
 
 #: Steps in which the fraction of a source that is repeated once more can be set.
 FRACTION_BINS = 4096
+#: Times that what a source still lacks is filled from documents that fit.
+PASSES = 4
 
 
 @dataclass
@@ -76,22 +78,34 @@ def token_sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
 
 
 def mix(sizes: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
-    """(doc_id, source, n_tokens, copies) of the documents used, each `copies` times.
+    """(doc_id, source, n_tokens, copies) of the documents used, each `copies` times. `sizes` is stored.
 
     A source given g of its t tokens is used floor(g / t) times whole; of the documents, those whose seeded hash falls
-    in the first bins are used once more. The last such bin is found from token sums per bin, so the sizes reached are within
-    a bin's (1/4096 of a source, or a document where that is larger) of those given, and no source is sorted as a
-    whole. Copies never exceed max_repeats. Documents without tokens are used like others of their source.
+    in the first bins are used once more. The last such bin is found from token sums per bin, so no source is sorted as a
+    whole. What is then still missing is filled in the same way, PASSES times in all, from the documents that aren't larger than
+    it: a document too large for the rest is passed over, and the size reached is never above the one given but for rounding.
+    Copies never exceed max_repeats. Documents without tokens are used like others of their source.
     """
-    ratio = F.when(F.col("tokens") > 0, F.least(F.col("given") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
-    parts = plan.select(F.col("source").alias("_s"), F.floor(ratio).alias("_whole"), ((ratio - F.floor(ratio)) * F.col("tokens")).alias("_rest"), "max_repeats")
+    spark = sizes.sparkSession
+    parts = []
+    for r in plan.select("source", "tokens", "given", "max_repeats").collect():  # one row per target source
+        ratio = min(r["given"] / r["tokens"], float(r["max_repeats"])) if r["tokens"] else 0.0
+        whole = int(ratio)
+        parts.append((r["source"], whole, (ratio - whole) * r["tokens"] if whole < r["max_repeats"] else 0.0))
     binned = sizes.withColumn("_bin", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(FRACTION_BINS)))
-    upto = Window.partitionBy("source").orderBy("_bin")
-    # Source and bin: at most FRACTION_BINS rows per source.
-    bins = binned.groupBy("source", "_bin").agg(F.sum("n_tokens").alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
-    edge = bins.join(parts, F.col("source") == F.col("_s")).where(F.col("_upto") - F.col("_n") / 2 <= F.col("_rest")).groupBy("_s").agg(F.max("_bin").alias("_edge"))
-    use = parts.join(edge.withColumnRenamed("_s", "_e"), F.col("_s") == F.col("_e"), "left").select("_s", "_whole", "_edge", "max_repeats", "_rest")
-    once_more = F.when((F.col("_rest") > 0) & (F.col("_bin") <= F.col("_edge")) & (F.col("_whole") < F.col("max_repeats")), 1).otherwise(0)
+    gaps, edges = {s: rest for s, _, rest in parts}, []
+    for _ in range(PASSES):
+        # Documents taken in an earlier pass are out: those in its bins that fitted its gap.
+        gap = spark.createDataFrame([(s, float(g), [float(e[s][0]) for e in edges], [int(e[s][1]) for e in edges]) for s, g in gaps.items()], "_s string, _gap double, _gaps array<double>, _edges array<int>")
+        free = ~F.exists(F.arrays_zip("_gaps", "_edges"), lambda e: (F.col("n_tokens") <= e["_gaps"]) & (F.col("_bin") <= e["_edges"]))
+        bins = binned.join(F.broadcast(gap), F.col("source") == F.col("_s")).where(free & (F.col("n_tokens") <= F.col("_gap"))).groupBy("_s", "_gap", "_bin").agg(F.sum("n_tokens").alias("_n"))
+        # Source and bin: at most FRACTION_BINS rows per source.
+        upto = bins.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_s").orderBy("_bin")))
+        reached = {r["_s"]: r for r in upto.where("_upto <= _gap").groupBy("_s").agg(F.max("_bin").alias("edge"), F.max("_upto").alias("n")).collect()}
+        edges.append({s: (g, reached[s]["edge"] if s in reached and g > 0 else -1) for s, g in gaps.items()})
+        gaps = {s: g - (reached[s]["n"] if s in reached and g > 0 else 0) for s, g in gaps.items()}
+    use = spark.createDataFrame([(s, whole, [float(e[s][0]) for e in edges], [int(e[s][1]) for e in edges]) for s, whole, _ in parts], "_s string, _whole int, _gaps array<double>, _edges array<int>")
+    once_more = F.exists(F.arrays_zip("_gaps", "_edges"), lambda e: (F.col("n_tokens") <= e["_gaps"]) & (F.col("_bin") <= e["_edges"])).cast("int")
     # One row per target source.
     return binned.join(F.broadcast(use), F.col("source") == F.col("_s")).select("doc_id", "source", "n_tokens", (F.col("_whole") + once_more).cast("int").alias("copies")).where("copies > 0")
 

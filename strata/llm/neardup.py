@@ -375,7 +375,8 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
     shared = F.size(F.array_intersect("ga", "gb"))
-    checked = stored(pairs).join(left, "a").join(right, "b").select("a", "b", "na", "nb", shared.alias("k"))
+    # Merged, not broadcast: numbers of classes take little room in a file, so a file's size says nothing of what it takes in memory.
+    checked = stored(pairs).hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "na", "nb", shared.alias("k"))
     return checked.where(F.col("k") >= threshold * (F.col("na") + F.col("nb") - F.col("k")) - 1e-9).select("a", "b")
 
 
