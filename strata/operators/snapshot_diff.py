@@ -20,6 +20,28 @@ def tree_bits(rows: int, snapshots: int, leaf_rows: int) -> int:
     return min(60, max(FAN_OUT_BITS, FAN_OUT_BITS * math.ceil(math.log2(leaves) / FAN_OUT_BITS)))
 
 
+def differing_leaves(digests: DataFrame, bits: int) -> DataFrame:
+    """(_p, _node): the leaves that differ, from the XORed digests (_pair, _leaf, _d1, _d2, _c) of both sides: top-down, children of differing nodes only."""
+    differs = (F.col("_d1") != 0) | (F.col("_d2") != 0) | (F.col("_c") != 0)
+    above: DataFrame | None = None
+    for level in range(0, bits + 1, FAN_OUT_BITS):
+        up = F.shiftrightunsigned(F.col("_leaf"), bits - level)
+        at = digests if above is None else digests.join(above, (digests["_pair"] == above["_p"]) & (F.shiftrightunsigned(F.col("_leaf"), bits - level + FAN_OUT_BITS) == above["_node"]), "left_semi")
+        above = (
+            at.groupBy("_pair", up.alias("_node"))
+            .agg(F.bit_xor("_d1").alias("_d1"), F.bit_xor("_d2").alias("_d2"), F.sum("_c").alias("_c"))
+            .where(differs)
+            .select(F.col("_pair").alias("_p"), "_node")
+        )
+    assert above is not None
+    return above
+
+
+def hashed_rows(df: DataFrame, keys: list[str], attrs: list[str], others: list[str]) -> DataFrame:
+    """The columns with the hash of the keys and the two digests of the row."""
+    return df.select(*others, *keys, *attrs, digest(*keys, seed=1).alias("_h"), digest(*keys, *attrs, seed=2).alias("_d1"), digest(*attrs, *keys, seed=3).alias("_d2"))
+
+
 def diff_snapshots(df: DataFrame, snapshot: str, keys: list[str], attrs: list[str], leaf_rows: int = 8) -> DataFrame:
     """The keys added, removed or changed from each snapshot to the next.
 
@@ -37,12 +59,7 @@ def diff_snapshots(df: DataFrame, snapshot: str, keys: list[str], attrs: list[st
     """
     if any(c.startswith("_") for c in (snapshot, *keys, *attrs)):
         raise ValueError("column names must not begin with an underscore")
-    h = digest(*keys, seed=1)
-    base = stored(
-        df.where(F.col(snapshot).isNotNull()).select(
-            snapshot, *keys, *attrs, h.alias("_h"), digest(*keys, *attrs, seed=2).alias("_d1"), digest(*attrs, *keys, seed=3).alias("_d2")
-        )
-    )
+    base = stored(hashed_rows(df.where(F.col(snapshot).isNotNull()), keys, attrs, [snapshot]))
     # One row per snapshot: their number is small, and the window runs over these only.
     order = stored(base.select(snapshot).distinct().select(snapshot, F.row_number().over(Window.orderBy(snapshot)).alias("_n")))
     snapshots, rows = order.count(), base.count()
@@ -64,18 +81,7 @@ def diff_snapshots(df: DataFrame, snapshot: str, keys: list[str], attrs: list[st
         .groupBy("_pair", "_leaf")
         .agg(F.bit_xor("_d1").alias("_d1"), F.bit_xor("_d2").alias("_d2"), F.sum("_c").alias("_c"))
     )
-    differs = (F.col("_d1") != 0) | (F.col("_d2") != 0) | (F.col("_c") != 0)
-    above: DataFrame | None = None
-    for level in range(0, bits + 1, FAN_OUT_BITS):
-        up = F.shiftrightunsigned(F.col("_leaf"), bits - level)
-        at = digests if above is None else digests.join(above, (digests["_pair"] == above["_p"]) & (F.shiftrightunsigned(F.col("_leaf"), bits - level + FAN_OUT_BITS) == above["_node"]), "left_semi")
-        above = (
-            at.groupBy("_pair", up.alias("_node"))
-            .agg(F.bit_xor("_d1").alias("_d1"), F.bit_xor("_d2").alias("_d2"), F.sum("_c").alias("_c"))
-            .where(differs)
-            .select(F.col("_pair").alias("_p"), "_node")
-        )
-    assert above is not None
+    above = differing_leaves(digests, bits)
     rows_in_pairs = leaf.select("*", pairs.alias("_s")).select("*", F.col("_s._pair").alias("_pair"), F.col("_s._old").alias("_old")).where(inside)
     touched = rows_in_pairs.join(above, (F.col("_pair") == F.col("_p")) & (F.col("_leaf") == F.col("_node")), "left_semi")
     side = F.struct(*attrs) if attrs else F.struct(F.lit(1).alias("_"))

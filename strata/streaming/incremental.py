@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from strata.operators.deliveries import latest
 from strata.operators.history import empty_dimension, merge_versions
@@ -29,12 +30,15 @@ class VersionedTable:
         names = [s.getPath().getName() for s in fs.listStatus(at)]
         return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
 
-    def read(self, before: int | None = None) -> DataFrame | None:
+    def read(self, before: int | None = None, schema: StructType | None = None) -> DataFrame | None:
+        """The last version, or the last before `before`; a version in folders may be empty, so it needs a schema."""
         v = [x for x in self.versions() if before is None or x < before]
-        return self.spark.read.parquet(f"{self.path}/v{v[-1]}") if v else None
+        reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
+        return reader.parquet(f"{self.path}/v{v[-1]}") if v else None
 
-    def write(self, df: DataFrame, version: int, keep: int = 2) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+    def write(self, df: DataFrame, version: int, keep: int = 2, by: list[str] | None = None) -> None:
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/v{version}")
         _, fs = self._fs()
         for old in self.versions()[:-keep]:
             fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
@@ -73,6 +77,7 @@ def stream_history(stream: DataFrame, path: str, checkpoint: str, keys: list[str
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def windowed_outcomes(stream: DataFrame, time: str, kind: str, window: str = "1 day", late: str = "7 days") -> DataFrame:
-    """Rows per window of delivery time and kind; deliveries later than `late` behind the newest are left out of a stream."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), kind, "n")
+def windowed_outcomes(stream: DataFrame, time: str, kind: str, window: str = "1 day", late: str | None = None) -> DataFrame:
+    """Rows per window of delivery time and kind. Every delivery counts, however late it is; with `late` (a time like `7 days`) windows that
+    old are closed and their state is freed, and deliveries further behind the newest are left out."""
+    return (stream.withWatermark(time, late) if late else stream).groupBy(F.window(time, window).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), kind, "n")

@@ -302,3 +302,31 @@ def test_exact_quantiles(spark):
     for r in quality.exact_quantiles(df, ["g"], "v", [0.1, 0.25, 0.5, 1.0]).collect():
         assert [r[f"q{i}"] for i in range(4)] == pytest.approx(want[r["g"]])
     assert quality.exact_quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
+def test_kept_snapshots_give_what_the_whole_history_does(spark, tmp_path, monkeypatch):
+    """Delivery by delivery as from all snapshots at once; of the one before, only folders with a differing leaf are read."""
+    from strata.streaming.snapshots import KeptSnapshot
+
+    rnd = random.Random(3)
+    state, rows = {(f"f{i % 5}", f"m{i}" if i else None): [rnd.choice("ab"), None] for i in range(60)}, []
+    for n in range(4):
+        for k in rnd.sample(sorted(state, key=repr), 5 if n else 0):
+            state.pop(k) if rnd.random() < 0.5 else state[k].__setitem__(1, str(n))
+        state[("f", f"new{n}")] = ["x", "y"]
+        rows += [(n, *k, *v) for k, v in state.items()]
+    df = spark.createDataFrame(rows, "s int, f string, m string, a string, b string")
+    want = {tuple(r) for r in snapshot_diff.diff_snapshots(df, "s", ["f", "m"], ["a", "b"]).collect()}
+    kept = KeptSnapshot(spark, str(tmp_path), ["f", "m"], ["a", "b"], bits=8)
+    got = set()
+    for n in range(4):
+        found = kept.deliver(df.where(F.col("s") == n).drop("s"))
+        changes = {(n, *r) for r in found.collect()}
+        if n:
+            got |= changes
+            assert "dynamicpruning" in found._jdf.queryExecution().toString()
+        else:
+            assert len(changes) == 61 and {r[3] for r in changes} == {"added"}
+    assert got == want and len(want) > 12
+    assert kept.deliver(df.where("s = 3").drop("s")).count() == 0
+    assert {r["change"] for r in kept.deliver(df.limit(0).drop("s")).collect()} == {"removed"}
