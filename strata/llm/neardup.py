@@ -411,8 +411,9 @@ class NearDuplicates:
         """(kind, id_1, id_2), id_1 < id_2: every pair of similar records, copies included."""
         m = self.members
         one, two = m.select("kind", F.col("id").alias("x"), F.col("cls").alias("a")), m.select(F.col("id").alias("y"), F.col("cls").alias("b"))
-        across = self.pairs.join(one, "a").join(two, "b").select("kind", F.least("x", "y").alias("id_1"), F.greatest("x", "y").alias("id_2"))
-        many = m.join(self.copies.select(F.col("_c").alias("cls")), "cls", "left_semi")
+        # Merged for the same reason as in similar_classes.
+        across = self.pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").select("kind", F.least("x", "y").alias("id_1"), F.greatest("x", "y").alias("id_2"))
+        many = m.join(self.copies.select(F.col("_c").alias("cls")).hint("merge"), "cls", "left_semi")
         within = many.select("kind", "cls", F.col("id").alias("id_1")).join(many.select("cls", F.col("id").alias("id_2")), "cls").where("id_1 < id_2").select("kind", "id_1", "id_2")
         return across.unionByName(within)
 
