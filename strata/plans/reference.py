@@ -581,8 +581,9 @@ def _directories(spark, d):
     good = raw.join(p1_rows(spark, d).select("raw_id"), "raw_id").withColumn("line", F.regexp_replace("line", r"(\r\n|\r|\n)\z", ""))
     named = table(spark, d, "revisions").where("revision_id is not null").select("revision_dir", "revision_id").distinct()
     held = pairs(spark, d).join(named, "revision_id")
-    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    lines = held.select("revision_dir", F.concat_ws(",", "token_hash_1", "token_hash_2", number("ngram_overlap"), number("verify_similarity")).alias("line"))
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    fields = [quoted("token_hash_1"), quoted("token_hash_2"), F.col("ngram_overlap").cast("string"), F.col("verify_similarity").cast("string")]
+    lines = held.select("revision_dir", F.concat_ws(",", *[F.coalesce(f, F.lit("")) for f in fields]).alias("line"))  # concat_ws leaves out nulls
     root = f"{shared_folder(spark)}/revisions-{uuid.uuid4().hex}"
     revisions.write_revisions(good.select("revision_dir", F.struct("line_no", "raw_id").alias("n"), "line"), lines, root)
     return root
@@ -598,7 +599,7 @@ def ingested_blocks(spark, d):
 def ingested_pairs(spark, d):
     root = _directories(spark, d)
     usable = revisions.usable_revisions(revisions.list_revisions(spark, root)).select("revision_dir")
-    return revisions.read_clone_pairs(spark, root).join(usable, "revision_dir", "left_semi").drop("revision_dir")
+    return revisions.read_clone_pairs(spark, root, empty_texts=True).join(usable, "revision_dir", "left_semi").drop("revision_dir")
 
 
 def _again(df, form):

@@ -73,6 +73,12 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def found(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match `pattern`."""
+    at = _path(spark, pattern)
+    return [s.getPath().toString() for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []]
+
+
 def rename(spark: SparkSession, path: str, new: str) -> None:
     at, to = _path(spark, path), _path(spark, new)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from strata.functions.sequences import parse_tokens
 from strata.operators import record_parser
 from strata.operators.matching import rename_duplicates
 from strata.schemas import CLONE_PAIRS_FILE, CLONE_PAIRS_FILE_OLD, CODE_BLOCKS_FILE, CODE_BLOCKS_FILE_OLD
-from strata.session import discard, rename, shared_folder, stored
+from strata.session import discard, found, rename, shared_folder, stored
 
 NAME = r"^(\d{8}_\d{6})_([0-9A-Za-z]+)$"
 FILES = ("code_blocks.csv", "clone_pairs.csv")
@@ -76,6 +77,8 @@ def read_records(spark: SparkSession, root: str, file: str = FILES[0]) -> DataFr
     line ends at which the number of quotes before is even. Empty lines are no records.
     """
     pattern = f"{root}/*/{file}"
+    if not found(spark, pattern):
+        return spark.createDataFrame([], "revision_dir string, file_path string, at struct<start: long, n: long>, line string")
     # Within a split rows are numbered in order, and splits of a file by where they start.
     at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
     lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("file_path"), at.alias("at"), F.col("value").alias("line"))
@@ -95,7 +98,7 @@ def read_records(spark: SparkSession, root: str, file: str = FILES[0]) -> DataFr
                     records = [raw[first[i] : past[i]].tobytes().decode("utf-8", "surrogatepass") for i in some]
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(some), pa.string()), pa.array(first[some].astype(np.int64)), pa.array(records, pa.string())], names=["file_path", "n", "line"])
 
-        whole = spark.read.text([str(x) for x in folded], wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value").mapInArrow(split, "file_path string, n long, line string")
+        whole = spark.read.text([unquote(x) for x in folded], wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value").mapInArrow(split, "file_path string, n long, line string")
         plain = plain.unionByName(whole.select("file_path", F.struct(F.lit(0).cast("long").alias("start"), "n").alias("at"), "line"))
     return plain.where("line <> ''").select(_revision_dir(F.col("file_path"), file).alias("revision_dir"), "file_path", "at", "line")
 
@@ -120,9 +123,12 @@ def load_code_blocks(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
     return blocks, parsed.where("reason is not null").select("revision_dir", "reason", F.col("record").alias("line"))
 
 
-def read_clone_pairs(spark: SparkSession, root: str, old: bool = False) -> DataFrame:
-    """All revisions' clone pairs in one frame; an empty file has no rows."""
-    return _read(spark, root, FILES[1], CLONE_PAIRS_FILE_OLD if old else CLONE_PAIRS_FILE)
+def read_clone_pairs(spark: SparkSession, root: str, old: bool = False, empty_texts: bool = False) -> DataFrame:
+    """All revisions' clone pairs in one frame; an empty file has no rows. An empty field is null, a quoted one as well unless `empty_texts`."""
+    schema = CLONE_PAIRS_FILE_OLD if old else CLONE_PAIRS_FILE
+    options = {"escape": '"'} | ({"nullValue": "\0"} if empty_texts else {})
+    rows = read_records(spark, root, FILES[1]).select("revision_dir", F.from_csv("line", schema.toDDL(), options).alias("row"))
+    return rows.select("revision_dir", "row.*", revision_time(F.col("revision_dir")).alias("revision_id")).where("revision_id is not null")
 
 
 def write_stage(df: DataFrame, path: str, form: str = "parquet", by: list[str] | None = None, order: list[str] | None = None) -> None:
@@ -136,13 +142,16 @@ def write_stage(df: DataFrame, path: str, form: str = "parquet", by: list[str] |
 
 
 def write_revisions(records: DataFrame, pairs: DataFrame, root: str) -> None:
-    """Writes revision directories: `records` (revision_dir, n, line) and `pairs` (revision_dir, line), a file (or folder of parts) for each."""
+    """Writes revision directories: `records` (revision_dir, n, line) and `pairs` (revision_dir, line), a file (or folder of parts) for each.
+
+    Rows without a directory go nowhere; names that can't be a directory's, which are no revision's either, are written as Spark escapes them.
+    """
     spark = records.sparkSession
     for df, file in ((records.repartition("revision_dir").sortWithinPartitions("revision_dir", "n").select("revision_dir", "line"), FILES[0]), (pairs, FILES[1])):
         made = f"{shared_folder(spark)}/{file}-{uuid.uuid4().hex}"
-        df.write.partitionBy("revision_dir").text(made)
-        for at in (r[0] for r in df.select("revision_dir").distinct().collect()):
-            rename(spark, f"{made}/revision_dir={at}", f"{root}/{at}/{file}")
+        df.where("revision_dir is not null").write.partitionBy("revision_dir").text(made)
+        for at in found(spark, f"{made}/revision_dir=*"):
+            rename(spark, at, f"{root}/{at.rsplit('/revision_dir=', 1)[1]}/{file}")
         discard(spark, made)
 
 

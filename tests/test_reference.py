@@ -5,6 +5,7 @@ import random
 import subprocess
 
 import pytest
+from compare import against_sql, connection
 from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -461,6 +462,33 @@ def test_records_of_one_line_are_not_read_whole(spark, tmp_path, monkeypatch):
     assert "wholetext" not in revisions.read_records(spark, str(tmp_path))._jdf.queryExecution().toString().lower()
 
 
+ODD_HASH = """CASE hash(token_hash) % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN token_hash || ',"x"' WHEN 3 THEN token_hash || chr(10) || chr(13) || chr(10) || 'x' WHEN 4 THEN ' ' || token_hash || chr(13) ELSE token_hash END"""
+
+
+@pytest.mark.parametrize("rows", ["true", "false"])
+def test_ingested_pairs_of_odd_rows(spark, con, tmp_path, rows):
+    """Hashes that are null or need quotes, directories without a name or with one that no directory can have, scores that are no numbers; no pairs at all."""
+    made = {
+        "code_blocks": f"SELECT * REPLACE ({ODD_HASH} AS token_hash) FROM code_blocks",
+        "clone_pairs": f"SELECT * REPLACE (CASE pair_id % 4 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN '-infinity'::DOUBLE ELSE ngram_overlap END AS ngram_overlap) FROM clone_pairs WHERE {rows}",
+        "revisions": "SELECT * FROM revisions UNION ALL SELECT NULL, revision_id, commit_hash, true FROM revisions WHERE revision_id IS NOT NULL",
+        "code_blocks_raw": "SELECT * FROM code_blocks_raw UNION ALL SELECT * REPLACE (CASE WHEN raw_id % 2 = 0 THEN 'a: b/c=%d' END AS revision_dir, -raw_id AS raw_id) FROM code_blocks_raw",
+    }
+    for name, sql in made.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path / name}.parquet' (FORMAT parquet)")
+    got, want, a, b = against_sql(spark, connection(str(tmp_path)), "ingested_pairs", reference.ingested_pairs, reference.ORACLES["ingested_pairs"], str(tmp_path))
+    assert a == b and got == want and (len(got) > 100) == (rows != "false")
+
+
+def test_pairs_over_lines(spark, tmp_path):
+    d = tmp_path / "a root" / "20240101_120000_abc"
+    d.mkdir(parents=True)
+    (d / "clone_pairs.csv").write_bytes(b'"a\r",b,80.5,\r\n"",,1,"2"\r\nc,"d\n""",,\n')
+    read = lambda **o: {tuple(r)[1:5] for r in revisions.read_clone_pairs(spark, str(d.parent), **o).collect()}
+    assert read() == {("a\r", "b", 80.5, None), (None, None, 1.0, 2.0), ("c", 'd\n"', None, None)}
+    assert read(empty_texts=True) == {("a\r", "b", 80.5, None), ("", None, 1.0, 2.0), ("c", 'd\n"', None, None)}
+
+
 def test_released_tables(spark):
     import os
 
